@@ -131,17 +131,83 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     return labels.select("id", F.col("label").alias("component"))
 
 
-def split_blocks(rows: DataFrame, keys: list[str], ident: str, block: int) -> DataFrame:
+def split_blocks(rows: DataFrame, keys: list[str], ident: str, block: int, scratch: Scratch, name: str = "blocks") -> DataFrame:
     """Deal the rows of each key to units of two blocks, for joins of a key's rows with one another.
 
     Adds unit_i <= unit_j, the unit, and in_block, the row's own block of about `block` rows. Each
-    unordered pair of a key's rows meets in exactly one unit, as (unit_i, unit_j) with the row of the
-    smaller block first; a key with few rows is a single unit.
+    unordered pair of a key's rows meets in exactly one unit, both in its only block or one in each; a
+    key with few rows is a single unit. Rows come sorted by key and unit, a unit in one partition.
     """
-    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    own = rows.join(n, keys).withColumn("in_block", F.pmod(F.xxhash64(F.lit("block"), ident), F.col("n_blocks")).cast("int"))
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return other.withColumn("unit_i", F.least("in_block", "other")).withColumn("unit_j", F.greatest("in_block", "other")).drop("other", "n_blocks")
+    large = scratch.save(rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block), name)
+    sized = rows.join(large, keys, "left").withColumn("_rows", F.coalesce(F.ceil(F.col("_rows") / block), F.lit(1)).cast("int"))
+    own = sized.withColumn("in_block", F.pmod(F.xxhash64(F.lit("block"), ident), F.col("_rows")).cast("int"))
+    other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
+    dealt = other.withColumn("unit_i", F.least("in_block", "_other")).withColumn("unit_j", F.greatest("in_block", "_other")).drop("_other", "_rows")
+    unit = [*keys, "unit_i", "unit_j"]
+    return dealt.repartition(*unit).sortWithinPartitions(*unit)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Of sorted batches: tables, and the bounds of the runs of two or more equal keys in them; no run is cut."""
+    held: pa.Table | None = None
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    def long(at: np.ndarray) -> list[tuple[int, int]]:
+        keep = np.diff(at) > 1
+        return list(zip(at[:-1][keep].tolist(), at[1:][keep].tolist(), strict=True))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        at = bounds(t)
+        if len(at) > 2:
+            yield t, long(at[:-1])
+        held = t.slice(int(at[-2]))
+    if held is not None:
+        yield held, long(np.array([0, held.num_rows]))
+
+
+#: log2 of the bits of a filter: at most 8 MB travel to the tasks, whatever the input.
+FILTER_BITS = 26
+
+
+def filter_slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - FILTER_BITS)
+    return hashes >> shift, (hashes * np.uint64(0x9E3779B97F4A7C15)) >> shift
+
+
+def _filter_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    field = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for batch in batches:
+        for at in filter_slots(np.asarray(batch.column(0)).view(np.uint64)):
+            np.bitwise_or.at(field, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    at = np.flatnonzero(field)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(field[at].astype(np.int32))], names=["place", "bits"])
+
+
+def build_filter(hashes: DataFrame):
+    """A broadcast filter of the one column of 64-bit hashes: fixed size, no false negatives."""
+    spark = hashes.sparkSession
+    field = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in hashes.mapInArrow(_filter_bytes, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).collect():
+        field[r["place"]] = r["bits"]
+    return spark.sparkContext.broadcast(field)
+
+
+def passes_filter(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(hashes), bool)
+    for at in filter_slots(hashes):
+        hit &= (field[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return hit
 
 
 def worker_state() -> dict:

@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Scratch, string_column, table, worker_state
+from pairloom.llm.common import Scratch, build_filter, passes_filter, string_column, table, worker_state
 from pairloom.llm.words import PlainWordHashes, blocks, hash_array, window_hashes
 
 #: Words of the shortest tile; seeds are runs of so many words.
 MIN_TILE = 5
 #: Share of a benchmark item's words that tiles must cover.
 COVERAGE = 0.6
-#: log2 of the bits of the filter that keeps seeds of no benchmark item at home: at most 8 MB, whatever the input.
-FILTER_BITS = 26
 _MODULUS = (1 << 61) - 1
 _BASE = 1_000_003
 
@@ -81,10 +79,6 @@ def tile(a: list[int], b: list[int], shortest: int = MIN_TILE) -> list[tuple[int
         length = max(shortest, length // 2) if length > 2 * shortest else shortest
 
 
-def _slots(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return seeds >> np.uint64(64 - bits), (seeds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-
-
 def _items(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,22 +91,7 @@ def _items(shortest: int):
     return run
 
 
-def _filter(bits: int):
-    """A task's seeds as set bytes of the filter: (place, byte)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(1 << (bits - 3), np.uint8)
-        for batch in batches:
-            seeds = np.asarray(batch.column("seeds").flatten()).view(np.uint64)
-            for at in _slots(seeds, bits):
-                np.bitwise_or.at(field, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-        at = np.flatnonzero(field)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(field[at].astype(np.int32))], names=["place", "bits"])
-
-    return run
-
-
-def _runs(shared, bits: int, shortest: int):
+def _runs(shared, shortest: int):
     """Of each document, the runs of words whose seeds may all be seeds of items; nothing else can be in a tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +106,7 @@ def _runs(shared, bits: int, shortest: int):
                 lengths = np.array([len(w) for w in words])
                 every = np.concatenate(words) if words else np.empty(0, np.uint64)
                 seeds = window_hashes(every, shortest)
-                hit = np.ones(len(seeds), bool)
-                for at in _slots(seeds, bits):
-                    hit &= (field[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                hits = np.flatnonzero(hit)
+                hits = np.flatnonzero(passes_filter(field, seeds))
                 ends = np.cumsum(lengths)
                 owner = np.searchsorted(ends, hits, "right")
                 inside = hits + shortest <= ends[owner] if len(hits) else np.empty(0, bool)
@@ -203,12 +179,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = MIN_TILE
     scratch = Scratch(spark, "contamination")
     items = string_column(benchmark.select("item_id", "text"), "text").withColumn("item", F.monotonically_increasing_id())
     items = scratch.save(items.mapInArrow(_items(shortest), "item_id long, item long, words array<long>, seeds array<long>").where(F.size("words") >= shortest), "items")
-    field = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in items.mapInArrow(_filter(FILTER_BITS), "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        field[r["place"]] = r["bits"]
-    shared = spark.sparkContext.broadcast(field)
+    shared = build_filter(items.select(F.explode("seeds").alias("seed")))
     docs = string_column(docs.select("doc_id", "text"), "text")
-    runs = scratch.save(docs.mapInArrow(_runs(shared, FILTER_BITS, shortest), "doc_id long, runs array<array<long>>").withColumn("row", F.monotonically_increasing_id()), "runs")
+    runs = scratch.save(docs.mapInArrow(_runs(shared, shortest), "doc_id long, runs array<array<long>>").withColumn("row", F.monotonically_increasing_id()), "runs")
     seeds = runs.select("row", "runs").mapInArrow(_seeds_of_runs(shortest), "row long, seed long")
     of_items = items.select("item", F.size("words").alias("n"), F.explode("seeds").alias("seed"))
     pairs = seeds.join(of_items, "seed").groupBy("row", "item").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
