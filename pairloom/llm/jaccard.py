@@ -7,7 +7,7 @@ Stages, each over all documents:
    n - ceil(0.75 n) + 1 are enough: two sets that link share one of them, whatever the order is. The
    order keeps lines and passages that many documents share out of the keys.
 3. Classes that meet under a key are compared in two rounds. In the first, each is compared with its
-   neighbour in the list, which connects groups of near copies in as many steps as they have members.
+   neighbour in the list, which connects groups of near copies by as many pairs as they have members.
    In the second, all pairs of a list that the first round left in different components are found in
    an R-tree over the counts of shingles by group. Sum of coordinate minima bounds the overlap.
 4. What the bound leaves is verified on whole sets; components follow from the links.
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import Scratch, build_filter, components, passes_filter, runs_of, split_blocks, string_column, table, worker_state
-from pairloom.llm.words import WordHashes, blocks, contract_words, hash_array, window_hashes
+from pairloom.llm.words import WordHashes, blocks, shingle_sets
 
 SHINGLE = 5
 #: Similarity as a fraction: intersection * OF >= union * SIMILAR.
 SIMILAR, OF = 75, 100
-#: Coordinates of a point: shingles fall into so many groups by hash.
-GROUPS = 64
+#: Coordinates of a point: shingles fall into so many groups by hash. The tree merges them by fours.
+GROUPS, MERGED = 256, 64
 #: log2 of the slots of the frequency sketch, 4 bytes each; CHUNK of them travel in a row.
 SKETCH_BITS = 20
 CHUNK = 1 << 14
@@ -41,18 +41,36 @@ BLOCK = 1024
 LEAF = 16
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the 5-word shingles of a text; of all its words if they are fewer; none without words."""
-    words = hash_array(contract_words(text), worker_state().setdefault("words", WordHashes()))
-    return np.unique(window_hashes(words, min(SHINGLE, len(words)))) if len(words) else np.empty(0, np.uint64)
+def _classes(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[list[tuple[np.ndarray, int | None]]]:
+    """Blocks of (set, fingerprint) of a batch's texts, in order."""
+    cache = worker_state().setdefault("words", WordHashes())
+    for held in blocks(((t.as_py(),) for t in batch.column("text")), lambda r: len(r[0]), limit):
+        yield [(s, fingerprint(s) if len(s) else None) for s in shingle_sets([t for (t,) in held], SHINGLE, cache)]
 
 
 def fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+def point(s: np.ndarray) -> bytes:
+    """Counts of the shingles by group: a byte each, or four where one needs them."""
+    counts = np.bincount((s >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    if all(len(r) == GROUPS for r in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), GROUPS)
+    return np.stack([np.frombuffer(r, np.uint8 if len(r) == GROUPS else np.int32).astype(np.int32) for r in raw])
+
+
+def may_link(p: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of points of p, with sums n, have minima that add up to the overlap that linked sets need."""
+    keep = np.zeros(len(i), bool)
+    for a in range(0, len(i), 16_384):
+        x, y = i[a : a + 16_384], j[a : a + 16_384]
+        keep[a : a + 16_384] = np.minimum(p[x], p[y]).sum(1, dtype=np.int64) >= _needed(n[x], n[y])
+    return keep
 
 
 def _needed(n: np.ndarray | int, m: np.ndarray | int):
@@ -61,28 +79,29 @@ def _needed(n: np.ndarray | int, m: np.ndarray | int):
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then a task's sketch in chunks."""
+    """A row for each document, with its point where the task meets its class first; then the task's sketch in chunks."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc_id", "n_shingles", "cid", "chunk", "counts"]
+    names = ["doc_id", "n_shingles", "cid", "point", "chunk", "counts"]
     seen: set[int] = set()
     for batch in batches:
-        ids, sizes, cids = batch.column("doc_id").to_pylist(), [], []
-        for held in blocks(((t,) for t in batch.column("text").to_pylist()), lambda r: len(r[0]), 2_000_000):
+        sizes, cids, points = [], [], []
+        for held in _classes(batch):
             slots = []
-            for (text,) in held:
-                s = shingles(text)
+            for s, cid in held:
                 sizes.append(len(s))
-                cids.append(fingerprint(s) if len(s) else None)
-                if len(s) and cids[-1] not in seen:
-                    seen.add(cids[-1])
+                cids.append(cid)
+                points.append(None if cid is None or cid in seen else point(s))
+                if points[-1] is not None:
+                    seen.add(cid)
                     slots.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
             if slots:
                 sketch += np.bincount(np.concatenate(slots), minlength=1 << SKETCH_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(points, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     chunks = [k for k in range(0, len(sketch), CHUNK) if sketch[k : k + CHUNK].any()]
     packed = [np.minimum(sketch[k : k + CHUNK], 2**31 - 1).astype(np.int32).tobytes() for k in chunks]
     n = len(chunks)
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array(packed, pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array(packed, pa.binary())], names=names)
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +118,10 @@ def _keys(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = shared.value, set()
         for batch in batches:
-            for held in blocks(((t,) for t in batch.column("text").to_pylist()), lambda r: len(r[0]), 2_000_000):
+            for held in _classes(batch):
                 keys, cids, sizes = [], [], []
-                for (text,) in held:
-                    s = shingles(text)
-                    if not len(s) or (cid := fingerprint(s)) in seen:
+                for s, cid in held:
+                    if cid is None or cid in seen:
                         continue
                     seen.add(cid)
                     take = len(s) + (-len(s) * SIMILAR // OF) + 1
@@ -149,26 +167,19 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(shared):
-    """(cid, n, point, items) of classes that pass the filter of those that met another one."""
+    """(cid, items) of classes that pass the filter of those that are to be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, seen = shared.value, set()
         for batch in batches:
-            for held in blocks(((t,) for t in batch.column("text").to_pylist()), lambda r: len(r[0]), 1_000_000):
-                out: list[tuple] = []
-                for (text,) in held:
-                    s = shingles(text)
-                    if not len(s) or (cid := fingerprint(s)) in seen:
-                        continue
-                    seen.add(cid)
-                    out.append((cid, s))
-                hit = passes_filter(field, np.array([c for c, _ in out], np.int64).view(np.uint64)) if out else []
-                out = [x for x, h in zip(out, hit, strict=True) if h]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([c for c, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([point(s).tobytes() for _, s in out], pa.binary()), pa.array([s.tobytes() for _, s in out], pa.binary())],
-                        names=["cid", "n", "point", "items"],
-                    )
+            for held in _classes(batch, 1_000_000):
+                out = {cid: s for s, cid in held if cid is not None and cid not in seen}
+                seen.update(out)
+                if not out:
+                    continue
+                hit = passes_filter(field, np.array(list(out), np.int64).view(np.uint64))
+                cids = [c for c, h in zip(out, hit, strict=True) if h]
+                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([out[c].tobytes() for c in cids], pa.binary())], names=["cid", "items"])
 
     return run
 
@@ -247,38 +258,57 @@ def tree_pairs(a: CountTree, b: CountTree) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of a key's classes in different components that the R-trees leave, a < b."""
+    """(a, b): pairs of a key's classes in different components that the bounds leave, a < b.
+
+    Short lists would be trees of one leaf; their pairs are bounded together. Of the pairs that a tree
+    leaves on merged groups, the bound on all groups leaves fewer.
+    """
     for t, runs in runs_of(batches, ["key", "unit_i", "unit_j"]):
-        out = []
         if not runs:
             continue
         cid, comp, units, other, block = (t.column(k).to_numpy() for k in ("cid", "component", "unit_i", "unit_j", "in_block"))
-        points = t.column("point").to_pylist()
-        for lo, hi in runs:
-            p = np.frombuffer(b"".join(points[lo:hi]), np.int32).reshape(hi - lo, GROUPS)
-            at = np.arange(lo, hi)
-            if units[lo] == other[lo]:
-                tree = CountTree(p)
+        p = points_of(t.column("point").to_pylist())
+        n = p.sum(1, dtype=np.int64)
+        left, right = [], []
+        lo, size = np.array(runs)[:, 0], np.diff(np.array(runs), axis=1)[:, 0]
+        one = units[lo] == other[lo]
+        for m in np.unique(size[one & (size <= LEAF)]).tolist():
+            i, j = np.triu_indices(m, 1)
+            at = lo[one & (size == m)][:, None]
+            left.append((at + i).ravel())
+            right.append((at + j).ravel())
+        for a, m, single in zip(lo.tolist(), size.tolist(), one.tolist(), strict=True):
+            if single and m <= LEAF:
+                continue
+            at, merged = np.arange(a, a + m), p[a : a + m].reshape(m, MERGED, -1).sum(2, dtype=np.int32)
+            if single:
+                tree = CountTree(merged)
                 i, j = tree_pairs(tree, tree)
                 i, j = at[i], at[j]
             else:
-                one, two = block[lo:hi] == units[lo], block[lo:hi] == other[lo]
-                if not (one.any() and two.any()):
+                x, y = block[at] == units[a], block[at] == other[a]
+                if not (x.any() and y.any()):
                     continue
-                i, j = tree_pairs(CountTree(p[one]), CountTree(p[two]))
-                i, j = at[one][i], at[two][j]
-            apart = comp[i] != comp[j]
-            out.append((np.minimum(cid[i], cid[j])[apart], np.maximum(cid[i], cid[j])[apart]))
-        if out:
-            a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                i, j = tree_pairs(CountTree(merged[x]), CountTree(merged[y]))
+                i, j = at[x][i], at[y][j]
+            left.append(i)
+            right.append(j)
+        i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        apart = (comp[i] != comp[j]) & (n[i] * OF >= n[j] * SIMILAR) & (n[j] * OF >= n[i] * SIMILAR)
+        i, j = i[apart], j[apart]
+        ends = np.unique(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]), i, j])[:2], axis=1, return_index=True)[1] if len(i) else i
+        i, j = i[ends], j[ends]
+        keep = may_link(p, n, i, j)
+        i, j = i[keep], j[keep]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
 
 
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, m = (batch.column(k).to_numpy() for k in ("n_a", "n_b"))
-        p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int32).reshape(batch.num_rows, GROUPS) for k in ("point_a", "point_b"))
-        keep = np.minimum(p, q).sum(1) >= _needed(n, m)
+        k = batch.num_rows
+        p = points_of(batch.column("point_a").to_pylist() + batch.column("point_b").to_pylist())
+        keep = may_link(p, p.sum(1, dtype=np.int64), np.arange(k), np.arange(k, 2 * k)) if k else np.empty(0, bool)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -304,7 +334,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     docs = string_column(docs.select("doc_id", "text"), "text")
     texts = docs.select("text")
-    first = scratch.save(docs.mapInArrow(_first_pass, "doc_id long, n_shingles long, cid long, chunk int, counts binary"), "first")
+    first = scratch.save(docs.mapInArrow(_first_pass, "doc_id long, n_shingles long, cid long, point binary, chunk int, counts binary"), "first")
     parts = (1 << SKETCH_BITS) // CHUNK
     sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     for r in first.where("chunk is not null").select("chunk", "counts").repartition(parts, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary").collect():
@@ -315,33 +345,43 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     keys = texts.mapInArrow(_keys(spark.sparkContext.broadcast(sketch)), "key long, cid long").repartition(tasks, "key")
     met = scratch.save(keys.mapInArrow(_meetings, "key long, cid long, before long"), "met")
-    met_ids = met.select("cid").distinct()
-    wanted = build_filter(met_ids)
-    sets = texts.mapInArrow(_sets(wanted), "cid long, n long, point binary, items binary").repartition(tasks, "cid").mapInArrow(_once, "cid long, n long, point binary, items binary")
-    sets = scratch.save(sets, "sets")
-
-    def verified(pairs: DataFrame, name: str, bounded: bool) -> DataFrame:
-        if not bounded:
-            small = sets.select("cid", "n", "point")
-            pairs = pairs.join(small.toDF("a", "n_a", "point_a"), "a").join(small.toDF("b", "n_b", "point_b"), "b").mapInArrow(_bound, "a long, b long")
-        whole = sets.select("cid", "items")
-        return scratch.save(pairs.join(whole.toDF("a", "items_a"), "a").join(whole.toDF("b", "items_b"), "b").mapInArrow(_verify, "a long, b long"), name)
-
-    chain = scratch.save(met.where("before is not null").select(F.col("before").alias("a"), F.col("cid").alias("b")).distinct(), "chain")
-    links = verified(chain, "links-1", False)
+    points = first.where("point is not null").select("cid", F.col("n_shingles").alias("n"), "point").repartition(tasks, "cid")
+    points = scratch.save(points.mapInArrow(_once, "cid long, n long, point binary"), "points")
+
+    def gathered(ids: DataFrame, name: str) -> DataFrame:
+        """Whole sets of the classes to be verified, read from the texts again."""
+        sets = texts.mapInArrow(_sets(build_filter(ids)), "cid long, items binary").repartition(tasks, "cid")
+        return scratch.save(sets.mapInArrow(_once, "cid long, items binary"), name)
+
+    def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
+        return scratch.save(both.mapInArrow(_verify, "a long, b long"), name)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+
+    chain = met.where("before is not null").select(F.col("before").alias("a"), F.col("cid").alias("b")).distinct()
+    near = chain.join(points.toDF("a", "n_a", "point_a"), "a").join(points.toDF("b", "n_b", "point_b"), "b").mapInArrow(_bound, "a long, b long")
+    near = scratch.save(near, "near")
+    sets = gathered(ends(near), "sets")
+    links = verified(near, sets, "links-1")
     comp = components(links, scratch, "cc-1")
     placed = met.select("key", "cid").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    lists = placed.join(mixed, "key", "left_semi").join(sets.select("cid", "point"), "cid")
-    pairs = split_blocks(lists, ["key"], "cid", BLOCK, scratch).mapInArrow(_search, "a long, b long").distinct().join(chain, ["a", "b"], "left_anti")
-    more = verified(scratch.save(pairs, "pairs"), "links-2", True)
+    lists = placed.join(mixed, "key", "left_semi").join(points.select("cid", "point"), "cid")
+    pairs = split_blocks(lists, ["key"], "cid", BLOCK, scratch).mapInArrow(_search, "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
+    pairs = scratch.save(pairs, "pairs")
+    missing = scratch.save(ends(pairs).join(sets.select("cid"), "cid", "left_anti"), "missing")
+    if not missing.isEmpty():
+        sets = sets.unionByName(gathered(missing, "more-sets").join(missing, "cid", "left_semi"))
+    more = verified(pairs, sets, "links-2")
     comp = components(links.unionByName(more), scratch, "cc-2")
 
     least = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = scratch.save(least, "least")
     of_component = least.groupBy("component").agg(F.min("least").alias("component_id"))
     answers = scratch.save(least.join(of_component, "component").select("cid", "component_id"), "answers")
-    for name in ("met", "sets", "chain", "links-1", "pairs", "mixed"):
+    for name in ("met", "points", "near", "sets", "missing", "more-sets", "pairs", "mixed"):
         scratch.drop(name)
     linked = rows.join(answers, "cid").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -9,7 +9,7 @@ import xxhash
 
 U64 = np.uint64
 #: A cache of words is emptied beyond so many entries.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def blocks(rows: Iterable[tuple], size_of, limit: int) -> Iterator[list[tuple]]:
@@ -67,7 +67,25 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, U64)
-    h = np.zeros(n, U64)
-    for k in range(size):
-        h = h * U64(0x9E3779B97F4A7C15) + mix(words[k : k + n] + U64(k + 1))
+    h = words[:n] + U64(size)
+    for k in range(1, size):
+        h *= U64(0x9E3779B97F4A7C15)
+        h += words[k : k + n]
     return mix(h)
+
+
+def shingle_sets(texts: list[str], size: int, cache: dict) -> list[np.ndarray]:
+    """Sorted distinct hashes of the runs of `size` contract words of each text; of all its words if they are fewer; none without words."""
+    words = [contract_words(t) for t in texts]
+    ends = np.cumsum([len(w) for w in words]).tolist()
+    every = np.fromiter((h for w in words for h in map(cache.__getitem__, w)), U64, ends[-1] if ends else 0)
+    runs, start, out = window_hashes(every, size), 0, []
+    for end in ends:
+        if end - start >= size:
+            s = np.sort(runs[start : end - size + 1])
+            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+        else:
+            s = window_hashes(every[start:end], end - start) if end > start else np.empty(0, U64)
+        out.append(s)
+        start = end
+    return out
