@@ -1 +1 @@
-"""Similarity joins and training-data operators on Spark DataFrames."""
+"""All pairs of similar vectors on Spark DataFrames."""
