@@ -251,17 +251,17 @@ def partition_hash_roundtrip(spark, sf):
 
 @query(f"WITH {UNIT} {APSS.format(t=0.9)}")
 def apss_documents(spark, sf):
-    return _rounded(join.similar_pairs(_counts(spark, sf), 0.9, "prefix"), "sim")
+    return _rounded(join.similar_pairs(_counts(spark, sf), 0.9, "plain"), "sim")
 
 
-@query(f"WITH {UNIT} {APSS.format(t=0.9)}")
-def apss_plain(spark, sf):
-    return _rounded(join.similar_pairs(_counts(spark, sf), 0.9, "plain"), "sim")
+@query(f"WITH {UNIT} {APSS.format(t=0.95)}")
+def apss_prefix(spark, sf):
+    return _rounded(join.similar_pairs(_counts(spark, sf), 0.95, "prefix"), "sim")
 
 
 @query(f"WITH {HASHED}, unit AS (SELECT id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS weight FROM htf) {APSS.format(t=0.9)}")
 def apss_hashed(spark, sf):
-    return _rounded(join.similar_pairs(X.text_vectors(_docs(spark, sf)), 0.9, "prefix", assume_normalized=True), "sim")
+    return _rounded(join.similar_pairs(X.text_vectors(_docs(spark, sf)), 0.9, assume_normalized=True), "sim")
 
 
 @query(f"WITH {UNIT} {APSS.format(t=0.9)}")
@@ -381,7 +381,10 @@ def column_similarities(spark, sf):
     return _rounded(matrix.column_similarities(cells, 0.01), "value")
 
 
-@query("SELECT l_linenumber::BIGINT - 1 AS row, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_orderkey) AS values FROM lineitem GROUP BY l_linenumber")
+@query(
+    """WITH c AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS row FROM lineitem)
+SELECT row, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_orderkey) AS values FROM c GROUP BY row"""
+)
 def transpose(spark, sf):
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     rows = items.groupBy(F.col("l_orderkey").alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("values"))
