@@ -5,7 +5,9 @@ Stages, each over all documents:
 1. A set's 64-bit fingerprint makes equal sets one class; a sketch counts all shingles.
 2. Each class files its first shingles in order of sketched frequency under a key each. Of a set of n,
    n - ceil(0.75 n) + 1 are enough: two sets that link share one of them, whatever the order is. The
-   order keeps lines and passages that many documents share out of the keys.
+   order keeps lines and passages that many documents share out of the keys. Sets that link overlap by
+   no more than what either has from their first common shingle on, so a late key only serves pairs
+   for which that is enough.
 3. Classes that meet under a key are compared in two rounds. In the first, each is compared with its
    neighbour in the list, which connects groups of near copies by as many pairs as they have members.
    In the second, all pairs of a list that the first round left in different components are found in
@@ -34,7 +36,7 @@ GROUPS, MERGED = 256, 64
 #: log2 of the slots of the frequency sketch, 4 bytes each; CHUNK of them travel in a row.
 SKETCH_BITS = 20
 CHUNK = 1 << 14
-#: Keys that one task gathers, in expectation: 16 bytes each.
+#: Keys that one task gathers, in expectation: 24 bytes each.
 TASK_KEYS = 1_500_000
 #: Classes of a key that a task compares at a time with as many others.
 BLOCK = 1024
@@ -78,6 +80,11 @@ def _needed(n: np.ndarray | int, m: np.ndarray | int):
     return -(-(n + m) * SIMILAR // (OF + SIMILAR))
 
 
+def _rest(at: np.ndarray) -> np.ndarray:
+    """Of `at` (the set's size, then how many of its shingles come from the key on): the latter."""
+    return at & 0xFFFFFFFF
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, with its point where the task meets its class first; then the task's sketch in chunks."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -113,13 +120,13 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(shared):
-    """(key, cid): the rarest shingles of each class that a task meets, once a task."""
+    """(key, cid, at): the rarest shingles of each class that a task meets, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = shared.value, set()
         for batch in batches:
             for held in _classes(batch):
-                keys, cids, sizes = [], [], []
+                keys, cids, sizes, at = [], [], [], []
                 for s, cid in held:
                     if cid is None or cid in seen:
                         continue
@@ -129,31 +136,42 @@ def _keys(shared):
                     keys.append(s[order[:take]])
                     cids.append(cid)
                     sizes.append(take)
+                    at.append((len(s) << 32) + len(s) - np.arange(take))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cids, np.int64), sizes))], names=["key", "cid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cids, np.int64), sizes)), pa.array(np.concatenate(at))], names=["key", "cid", "at"])
 
     return run
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, cid, before): a partition's keys that two or more classes share, and each class's neighbour in the list."""
-    got = [(np.asarray(b.column("key")), np.asarray(b.column("cid"))) for b in batches if b.num_rows]
+    """(key, cid, at, before): a partition's keys that two or more classes share, and each class's neighbour in the list.
+
+    A class stays out of the list of a key so late in its order that no other class of the list could link with it by it.
+    """
+    got = [tuple(np.asarray(b.column(k)) for k in ("key", "cid", "at")) for b in batches if b.num_rows]
     if not got:
         return
-    key, cid = (np.concatenate(x) for x in zip(*got, strict=True))
+    key, cid, at = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
     order = np.argsort(key, kind="stable")
-    key, cid = key[order], cid[order]
+    key, cid, at = key[order], cid[order], at[order]
     twin = np.zeros(len(key), bool)
     same = key[1:] == key[:-1]
     twin[1:] |= same
     twin[:-1] |= same
-    key, cid = key[twin], cid[twin]
+    key, cid, at = key[twin], cid[twin], at[twin]
     order = np.lexsort((cid, key))
-    key, cid = key[order], cid[order]
+    key, cid, at = key[order], cid[order], at[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])  # a class comes once from each task that met it
-    key, cid = key[new], cid[new]
+    key, cid, at = key[new], cid[new], at[new]
+    if not len(key):
+        return
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n = at >> 32
+    least = np.repeat(np.minimum.reduceat(n, first), np.diff(np.append(first, len(key))))
+    useful = _rest(at) >= _needed(n, np.maximum(least, -(-n * SIMILAR // OF)))
+    key, cid, at = key[useful], cid[useful], at[useful]
     same = np.zeros(len(key), bool)
     same[1:] = key[1:] == key[:-1]
     before = np.zeros(len(key), np.int64)
@@ -161,9 +179,9 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = same.copy()
     keep[:-1] |= same[1:]
     for a in range(0, len(key), 500_000):
-        at = slice(a, a + 500_000)
-        k = keep[at]
-        yield pa.RecordBatch.from_arrays([pa.array(key[at][k]), pa.array(cid[at][k]), pa.array(before[at][k], mask=~same[at][k])], names=["key", "cid", "before"])
+        part = slice(a, a + 500_000)
+        k = keep[part]
+        yield pa.RecordBatch.from_arrays([pa.array(key[part][k]), pa.array(cid[part][k]), pa.array(at[part][k]), pa.array(before[part][k], mask=~same[part][k])], names=["key", "cid", "at", "before"])
 
 
 def _sets(shared):
@@ -268,7 +286,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cid, comp, units, other, block = (t.column(k).to_numpy() for k in ("cid", "component", "unit_i", "unit_j", "in_block"))
         p = points_of(t.column("point").to_pylist())
-        n = p.sum(1, dtype=np.int64)
+        n, rest = p.sum(1, dtype=np.int64), _rest(t.column("at").to_numpy())
         left, right = [], []
         lo, size = np.array(runs)[:, 0], np.diff(np.array(runs), axis=1)[:, 0]
         one = units[lo] == other[lo]
@@ -294,7 +312,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(i)
             right.append(j)
         i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        apart = (comp[i] != comp[j]) & (n[i] * OF >= n[j] * SIMILAR) & (n[j] * OF >= n[i] * SIMILAR)
+        apart = (comp[i] != comp[j]) & (n[i] * OF >= n[j] * SIMILAR) & (n[j] * OF >= n[i] * SIMILAR) & (np.minimum(rest[i], rest[j]) >= _needed(n[i], n[j]))
         i, j = i[apart], j[apart]
         ends = np.unique(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]), i, j])[:2], axis=1, return_index=True)[1] if len(i) else i
         i, j = i[ends], j[ends]
@@ -343,8 +361,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     n_keys = (rows.agg(F.sum("n_shingles")).first()[0] or 0) // 4
     tasks = max(spark.sparkContext.defaultParallelism, n_keys // TASK_KEYS)
 
-    keys = texts.mapInArrow(_keys(spark.sparkContext.broadcast(sketch)), "key long, cid long").repartition(tasks, "key")
-    met = scratch.save(keys.mapInArrow(_meetings, "key long, cid long, before long"), "met")
+    keys = texts.mapInArrow(_keys(spark.sparkContext.broadcast(sketch)), "key long, cid long, at long").repartition(tasks, "key")
+    met = scratch.save(keys.mapInArrow(_meetings, "key long, cid long, at long, before long"), "met")
     points = first.where("point is not null").select("cid", F.col("n_shingles").alias("n"), "point").repartition(tasks, "cid")
     points = scratch.save(points.mapInArrow(_once, "cid long, n long, point binary"), "points")
 
@@ -366,7 +384,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = gathered(ends(near), "sets")
     links = verified(near, sets, "links-1")
     comp = components(links, scratch, "cc-1")
-    placed = met.select("key", "cid").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = met.select("key", "cid", "at").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
     lists = placed.join(mixed, "key", "left_semi").join(points.select("cid", "point"), "cid")
     pairs = split_blocks(lists, ["key"], "cid", BLOCK, scratch).mapInArrow(_search, "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
