@@ -131,14 +131,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     return labels.select("id", F.col("label").alias("component"))
 
 
-def split_blocks(rows: DataFrame, keys: list[str], ident: str, block: int, scratch: Scratch, name: str = "blocks") -> DataFrame:
+def split_blocks(rows: DataFrame, keys: list[str], ident: str, block: int, scratch: Scratch, name: str = "blocks", counts: DataFrame | None = None) -> DataFrame:
     """Deal the rows of each key to units of two blocks, for joins of a key's rows with one another.
 
     Adds unit_i <= unit_j, the unit, and in_block, the row's own block of about `block` rows. Each
     unordered pair of a key's rows meets in exactly one unit, both in its only block or one in each; a
-    key with few rows is a single unit. Rows come sorted by key and unit, a unit in one partition.
+    key with few rows is a single unit. `counts` has the keys' rows as _rows, if they are known. Rows come sorted by key and unit, a unit in one partition.
     """
-    large = scratch.save(rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block), name)
+    large = scratch.save((rows.groupBy(*keys).agg(F.count("*").alias("_rows")) if counts is None else counts).where(F.col("_rows") > block), name)
     sized = rows.join(large, keys, "left").withColumn("_rows", F.coalesce(F.ceil(F.col("_rows") / block), F.lit(1)).cast("int"))
     own = sized.withColumn("in_block", F.pmod(F.xxhash64(F.lit("block"), ident), F.col("_rows")).cast("int"))
     other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))

@@ -385,9 +385,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = verified(near, sets, "links-1")
     comp = components(links, scratch, "cc-1")
     placed = met.select("key", "cid", "at").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    mixed = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("_rows")).where("lo <> hi").select("key", "_rows"), "mixed")
     lists = placed.join(mixed, "key", "left_semi").join(points.select("cid", "point"), "cid")
-    pairs = split_blocks(lists, ["key"], "cid", BLOCK, scratch).mapInArrow(_search, "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
+    pairs = split_blocks(lists, ["key"], "cid", BLOCK, scratch, counts=mixed).mapInArrow(_search, "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
     missing = scratch.save(ends(pairs).join(sets.select("cid"), "cid", "left_anti"), "missing")
     if not missing.isEmpty():
