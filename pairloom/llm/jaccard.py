@@ -9,7 +9,8 @@ Stages, each over all documents:
    no more than what either has from their first common shingle on, so a late key only serves pairs
    for which that is enough.
 3. Classes that meet under a key are compared in two rounds. In the first, each is compared with its
-   neighbour in the list, which connects groups of near copies by as many pairs as they have members.
+   neighbour of like size in the list and with the one of its size that has the fewest shingles of its
+   own. A few pairs for each member so connect a group of near copies, though not all of them link.
    In the second, all pairs of a list that the first round left in different components are found in
    an R-tree over the counts of shingles by group. Sum of coordinate minima bounds the overlap.
 4. What the bound leaves is verified on whole sets; components follow from the links.
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import Scratch, build_filter, components, passes_filter, runs_of, split_blocks, string_column, table, worker_state
-from pairloom.llm.words import WordHashes, blocks, shingle_sets
+from pairloom.llm.words import WordHashes, blocks, mix, shingle_sets
 
 SHINGLE = 5
 #: Similarity as a fraction: intersection * OF >= union * SIMILAR.
 SIMILAR, OF = 75, 100
 #: Coordinates of a point: shingles fall into so many groups by hash. The tree merges them by fours.
 GROUPS, MERGED = 256, 64
+#: Orders of a list by hash, dealt to keys: members of a group that share many keys meet other neighbours under each.
+ORDERS = 8
 #: log2 of the slots of the frequency sketch, 4 bytes each; CHUNK of them travel in a row.
 SKETCH_BITS = 20
 CHUNK = 1 << 14
@@ -144,7 +147,7 @@ def _keys(shared):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, cid, at, before): a partition's keys that two or more classes share, and each class's neighbour in the list.
+    """(key, cid, at, before, hub): a partition's keys that two or more classes share, and whom of the list each class is compared with first.
 
     A class stays out of the list of a key so late in its order that no other class of the list could link with it by it.
     """
@@ -172,16 +175,36 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = np.repeat(np.minimum.reduceat(n, first), np.diff(np.append(first, len(key))))
     useful = _rest(at) >= _needed(n, np.maximum(least, -(-n * SIMILAR // OF)))
     key, cid, at = key[useful], cid[useful], at[useful]
+    n, rest = at >> 32, _rest(at)
+    order = np.lexsort((mix(cid.view(np.uint64) ^ mix(key.view(np.uint64) % np.uint64(ORDERS))), -rest, n, key))
+    key, cid, at, n, rest = key[order], cid[order], at[order], n[order], rest[order]
     same = np.zeros(len(key), bool)
     same[1:] = key[1:] == key[:-1]
-    before = np.zeros(len(key), np.int64)
-    before[1:] = cid[:-1]
+    partners = []
+    for other in _partners(same, n):
+        i = np.arange(len(key))
+        fits = (other < i) & (n[other] * OF >= n * SIMILAR) & (np.minimum(rest[other], rest) >= _needed(n[other], n))
+        partners.append((cid[other], fits))
     keep = same.copy()
     keep[:-1] |= same[1:]
     for a in range(0, len(key), 500_000):
         part = slice(a, a + 500_000)
         k = keep[part]
-        yield pa.RecordBatch.from_arrays([pa.array(key[part][k]), pa.array(cid[part][k]), pa.array(at[part][k]), pa.array(before[part][k], mask=~same[part][k])], names=["key", "cid", "at", "before"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[part][k]), pa.array(cid[part][k]), pa.array(at[part][k]), *(pa.array(c[part][k], mask=~fits[part][k]) for c, fits in partners)], names=["key", "cid", "at", "before", "hub"])
+
+
+def _partners(same: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists sorted by size and, within a size, by how little precedes the key: each one's predecessor and the size's first.
+
+    The first of a size has the fewest rare shingles of its own; it links with more of its near copies
+    than they do with one another. The predecessor of a first is the first of the size before.
+    """
+    at = np.arange(len(n))
+    lead = ~same
+    lead[1:] |= n[1:] != n[:-1]
+    first = np.maximum.accumulate(np.where(lead, at, 0))
+    before = np.where(lead & same, first[at - 1], np.where(same, at - 1, at))
+    return before, first
 
 
 def _sets(shared):
@@ -362,7 +385,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tasks = max(spark.sparkContext.defaultParallelism, n_keys // TASK_KEYS)
 
     keys = texts.mapInArrow(_keys(spark.sparkContext.broadcast(sketch)), "key long, cid long, at long").repartition(tasks, "key")
-    met = scratch.save(keys.mapInArrow(_meetings, "key long, cid long, at long, before long"), "met")
+    met = scratch.save(keys.mapInArrow(_meetings, "key long, cid long, at long, before long, hub long"), "met")
     points = first.where("point is not null").select("cid", F.col("n_shingles").alias("n"), "point").repartition(tasks, "cid")
     points = scratch.save(points.mapInArrow(_once, "cid long, n long, point binary"), "points")
 
@@ -378,7 +401,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
 
-    chain = met.where("before is not null").select(F.col("before").alias("a"), F.col("cid").alias("b")).distinct()
+    chain = met.select("cid", F.explode(F.array("before", "hub")).alias("other")).where("other is not null")
+    chain = chain.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
     near = chain.join(points.toDF("a", "n_a", "point_a"), "a").join(points.toDF("b", "n_b", "point_b"), "b").mapInArrow(_bound, "a long, b long")
     near = scratch.save(near, "near")
     sets = gathered(ends(near), "sets")
