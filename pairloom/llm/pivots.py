@@ -17,8 +17,10 @@ COSINE = 0.93
 NEAREST, SHARED = 8, 2
 #: Bounds of the number of pivots, a sample of the vectors.
 PIVOTS = (64, 4096)
-#: Vectors of one list that a task compares at a time with as many others.
-BLOCK = 1024
+#: Pivots are further apart than this cosine; a pivot with another drawn vector within it has a cell, searched exactly.
+CELL = 0.8
+#: Vectors of one list, and of one cell, that a task compares at a time with as many others.
+BLOCK, CELL_BLOCK = 1024, 4096
 
 
 def n_pivots(largest: int) -> int:
@@ -34,40 +36,96 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int = NEAREST) ->
     return np.sort(np.argpartition(-near, k - 1, 1)[:, :k] if k < len(pivots) else np.tile(np.arange(len(pivots)), (len(vectors), 1)), 1)
 
 
+def thin_pivots(drawn: np.ndarray, cosine: float = CELL) -> tuple[np.ndarray, np.ndarray]:
+    """Of drawn unit vectors, those with no earlier one of the result within `cosine`; and the indices of those that stand for others, too."""
+    kept, stands = np.empty_like(drawn), np.zeros(len(drawn), bool)
+    n = 0
+    for v in drawn:
+        near = kept[:n] @ v
+        if n and near.max() >= cosine:
+            stands[near.argmax()] = True
+        else:
+            kept[n] = v
+            n += 1
+    return kept[:n], np.flatnonzero(stands[:n])
+
+
+def visiting_cosine(cosine: float) -> float:
+    """Cosine to a pivot that all vectors reach which are linked with one within CELL of the pivot."""
+    angle = np.arccos(CELL) + np.arccos(cosine)
+    return float(np.cos(angle)) - 1e-9 if angle < np.pi else -2.0
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, sets: UnionFind) -> list[tuple[int, int]]:
+    """Pairs of (i, j) that connect what all of them connect, and that `sets` does not connect yet; joins them there."""
+    kept: list[tuple[int, int]] = []
+    n = len(sets.up)
+    while True:
+        root = np.fromiter((sets.find(x) for x in range(n)), np.int64, n)
+        apart = np.flatnonzero(root[i] != root[j])
+        if not len(apart):
+            return kept
+        i, j = i[apart], j[apart]
+        one = np.full(n, -1)
+        one[root[i]] = np.arange(len(i))
+        one[root[j]] = np.arange(len(j))
+        for k in np.unique(one[one >= 0]).tolist():
+            if sets.union(int(i[k]), int(j[k])):
+                kept.append((int(i[k]), int(j[k])))
+
+
 def _unit(rows: list) -> np.ndarray:
     x = np.array(rows, np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # no overflow of the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _lists(shared):
-    """Entries of the inverted lists: one for each pair of a vector's nearest pivots."""
+def _lists(shared, visiting: float, cells: bool):
+    """Entries of the inverted lists. Of cells: one for each cell that a vector is in or visits, under -1 - pivot.
+
+    Else, for each vector in no cell, one for each pair of its nearest pivots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_size = shared.value
         for batch in batches:
             labels, ids, sizes, vectors = (batch.column(k).to_pylist() for k in ("label", "cid", "n", "embedding"))
             for dim in {len(v) for v in vectors}:
-                pivots = by_size[dim]
+                pivots, dense = by_size[dim]
                 at = [k for k, v in enumerate(vectors) if len(v) == dim]
                 for lo in range(0, len(at), 2048):
-                    some = at[lo : lo + 2048]
+                    some = np.array(at[lo : lo + 2048])
                     x = _unit([vectors[k] for k in some])
-                    near = nearest_pivots(x, pivots).astype(np.int16)
-                    pairs = list(combinations(range(near.shape[1]), SHARED)) or [(0, 0)]
-                    key = np.stack([near[:, a].astype(np.int64) * len(pivots) + near[:, b] for a, b in pairs], 1)
-                    rows = np.repeat(np.arange(len(some)), key.shape[1])
-                    take = np.array(some)[rows]
-                    raw, piv = [v.tobytes() for v in x], [v.tobytes() for v in near]
+                    home = np.full(len(x), -1)
+                    if len(dense):
+                        near_cells = x @ pivots[dense].T
+                        home = np.where(near_cells.max(1) >= CELL, dense[near_cells.argmax(1)], -1)
+                    if cells:
+                        rows, cell = np.nonzero(near_cells >= visiting) if len(dense) else (np.empty(0, int), np.empty(0, int))
+                        key, own = -1 - dense[cell], home[rows].astype(np.int16)[:, None]
+                    else:
+                        outside = np.flatnonzero(home < 0)
+                        some, x = some[outside], x[outside]
+                        if not len(x):
+                            continue
+                        near = nearest_pivots(x, pivots).astype(np.int16)
+                        pairs = list(combinations(range(near.shape[1]), SHARED)) or [(0, 0)]
+                        key = np.stack([near[:, a].astype(np.int64) * len(pivots) + near[:, b] for a, b in pairs], 1).ravel()
+                        rows = np.repeat(np.arange(len(some)), len(pairs))
+                        own = near[rows]
+                    if not len(rows):
+                        continue
+                    take = some[rows]
+                    raw = [v.tobytes() for v in x]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.array(labels, np.int64)[take]),
                             pa.array(np.full(len(take), dim, np.int32)),
-                            pa.array(key.ravel()),
+                            pa.array(key.astype(np.int64)),
                             pa.array(np.array(ids, np.int64)[take]),
                             pa.array(np.array(sizes, np.int64)[take]),
                             pa.array([raw[r] for r in rows], pa.binary()),
-                            pa.array([piv[r] for r in rows], pa.binary()),
+                            pa.array([v.tobytes() for v in own], pa.binary()),
                         ],
                         names=["label", "dim", "key", "cid", "n", "vec", "near"],
                     )
@@ -75,8 +133,27 @@ def _lists(shared):
     return run
 
 
+def _of_list(p: np.ndarray, i: np.ndarray, j: np.ndarray, key: tuple[int, int]) -> np.ndarray:
+    """Which pairs have this list as the first that the two share; p has the nearest pivots."""
+    mine = np.zeros(len(i), bool)
+    for a in range(0, len(i), 200_000):
+        common = (p[i[a : a + 200_000], :, None] == p[j[a : a + 200_000], None, :]).any(2)
+        rank = np.cumsum(common, 1)
+        own = p[i[a : a + 200_000]]
+        low = np.where(common & (rank == 1), own, 0).sum(1)
+        second = np.where(common & (rank == SHARED), own, 0).sum(1)
+        mine[a : a + 200_000] = (low == key[0]) & ((second == key[1]) | (p.shape[1] < SHARED))
+    return mine
+
+
+def _of_cell(home: np.ndarray, i: np.ndarray, j: np.ndarray, cell: int) -> np.ndarray:
+    """Which pairs belong to this cell: the lower one of the cells that the two are in, and no pair of visitors."""
+    a, b = home[i], home[j]
+    return np.where((a < 0) | (b < 0), np.maximum(a, b), np.minimum(a, b)) == cell
+
+
 def _compare(pivots_of: dict[int, int], cosine: float):
-    """Links within a list, each counted only in the first list that its two vectors share."""
+    """Links within a list or cell, each counted only in one that its two vectors share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, runs in runs_of(batches, ["label", "dim", "key", "unit_i", "unit_j"]):
@@ -88,33 +165,27 @@ def _compare(pivots_of: dict[int, int], cosine: float):
             for lo, hi in runs:
                 x = np.frombuffer(b"".join(vec[lo:hi]), np.float64).reshape(hi - lo, -1)
                 p = np.frombuffer(b"".join(near[lo:hi]), np.int16).reshape(hi - lo, -1)
-                first = np.arange(hi - lo)
-                if units[lo] == other[lo]:
-                    i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-                else:
-                    one, two = first[block[lo:hi] == units[lo]], first[block[lo:hi] == other[lo]]
-                    i, j = np.nonzero(x[one] @ x[two].T >= cosine)
-                    i, j = one[i], two[j]
-                key = divmod(int(keys[lo]), pivots_of[int(dims[lo])])
-                mine = np.zeros(len(i), bool)
-                for a in range(0, len(i), 200_000):
-                    common = (p[i[a : a + 200_000], :, None] == p[j[a : a + 200_000], None, :]).any(2)
-                    rank = np.cumsum(common, 1)
-                    own = p[i[a : a + 200_000]]
-                    low = np.where(common & (rank == 1), own, 0).sum(1)
-                    second = np.where(common & (rank == SHARED), own, 0).sum(1)
-                    mine[a : a + 200_000] = (low == key[0]) & ((second == key[1]) | (p.shape[1] < SHARED))
-                i, j = i[mine], j[mine]
-                if not len(i):
-                    continue
+                one = two = np.arange(hi - lo)
+                same = units[lo] == other[lo]
+                if not same:
+                    one, two = one[block[lo:hi] == units[lo]], two[block[lo:hi] == other[lo]]
+                right, key = x[two].T, int(keys[lo])
                 c, n = cids[lo:hi], sizes[lo:hi]
-                links = np.bincount(i, n[j], hi - lo) + np.bincount(j, n[i], hi - lo)
+                links, sets, kept = np.zeros(hi - lo), UnionFind(hi - lo), []
+                for strip in range(0, len(one), 512):
+                    i, j = np.nonzero(x[one[strip : strip + 512]] @ right >= cosine)
+                    i, j = one[strip + i], two[j]
+                    if same:
+                        i, j = i[i < j], j[i < j]
+                    mine = _of_cell(p[:, 0], i, j, -1 - key) if key < 0 else _of_list(p, i, j, divmod(key, pivots_of[int(dims[lo])]))
+                    i, j = i[mine], j[mine]
+                    if len(i):
+                        links += np.bincount(i, n[j], hi - lo) + np.bincount(j, n[i], hi - lo)
+                        kept += _spanning(i, j, sets)
                 got = np.flatnonzero(links)
+                if not len(got):
+                    continue
                 out.append((c[got], c[got], links[got].astype(np.int64)))
-                sets, kept = UnionFind(hi - lo), []
-                for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                    if sets.union(a, b):
-                        kept.append((a, b))
                 a, b = np.array(kept).T
                 out.append((c[a], c[b], np.zeros(len(a), np.int64)))
             if out:
@@ -131,8 +202,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     zero or hold null or non-finite components, link with nothing. Equal vectors of a label are one
     class of any size and are never compared; of other columns nothing is read. Repeated rows link
     with one another; a null vec_id is nobody's component unless all are null; an empty table gives no
-    rows. Vectors are compared if they share two of their eight nearest pivots, which finds over 0.98
-    of the links at the cosine itself and all but none of them above 0.95 (see the tests).
+    rows.
+
+    Pivots are drawn vectors no two of which are within CELL. Where several drawn vectors were, a
+    group is dense, and all links of a vector within CELL of that pivot are found: by the triangle
+    inequality they end at vectors that visit the cell. The other vectors are compared with each other
+    if they share two of their eight nearest pivots, which finds over 0.98 of the links at the cosine
+    itself and all but none of them above 0.95 (see the tests).
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "pivots")
@@ -147,11 +223,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     for r in sized:
         of_dim = classes.where(F.size("embedding") == r["dim"])
         drawn = of_dim.orderBy(F.xxhash64(F.lit("pivot"), "embedding", "label"), "cid").limit(n_pivots(r["n"])).select("embedding").collect()
-        pivots[r["dim"]] = _unit([d["embedding"] for d in drawn])
+        pivots[r["dim"]] = thin_pivots(_unit([d["embedding"] for d in drawn]))
     shared = spark.sparkContext.broadcast(pivots)
-    lists = classes.select("label", "cid", "n", "embedding").mapInArrow(_lists(shared), "label long, dim int, key long, cid long, n long, vec binary, near binary")
-    units = split_blocks(lists, ["label", "dim", "key"], "cid", BLOCK, scratch)
-    found = scratch.save(units.mapInArrow(_compare({k: len(v) for k, v in pivots.items()}, cosine), "a long, b long, links long"), "found")
+    found = None
+    for name, cells, block in (("lists", False, BLOCK), ("cells", True, CELL_BLOCK)):
+        if cells and not any(len(dense) for _, dense in pivots.values()):
+            continue
+        lists = classes.select("label", "cid", "n", "embedding").mapInArrow(_lists(shared, visiting_cosine(cosine), cells), "label long, dim int, key long, cid long, n long, vec binary, near binary")
+        units = split_blocks(lists, ["label", "dim", "key"], "cid", block, scratch, name)
+        part = scratch.save(units.mapInArrow(_compare({k: len(v) for k, (v, _) in pivots.items()}, cosine), "a long, b long, links long"), f"found-{name}")
+        found = part if found is None else found.unionByName(part)
     links = found.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     comp = components(found.where("a <> b").select("a", "b"), scratch)
     known = classes.drop("label", "embedding").join(comp.withColumnRenamed("id", "cid"), "cid", "left").join(links, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -105,6 +105,23 @@ def test_embeddings(spark):
     assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True) for k in (900, 901, 902, 903, 295))
 
 
+@pytest.mark.parametrize("cosine", [0.94, 0.96])
+def test_embeddings_of_a_dense_group(spark, cosine):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 64))
+    x[:1000] = rng.standard_normal(64) + np.sqrt(1 / cosine - 1) * rng.standard_normal((1000, 64))
+    x[1000:1100] = x[1100:1200] + 0.2 * rng.standard_normal((100, 64))
+    rows = [(k, 0, v.astype(np.float32).tolist()) for k, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()}
+    unit = np.array([r[2] for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    n_links = np.array([got[k]["n_links"] for k in range(3000)])
+    assert want[:1000].sum() > 400_000 and (n_links[:1000] == want[:1000]).all()
+    assert (n_links <= want).all() and n_links[1000:].sum() >= 0.98 * want[1000:].sum()
+    assert all(got[k]["component_id"] == 0 for k in range(1000) if want[k] > 500)
+
+
 def test_tokens(spark, edge, empty, tmp_path):
     from tokenizers import Tokenizer
 
