@@ -150,9 +150,43 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
+def content_sizes(found: list[tuple[str, bool, bool]]) -> list[int]:
+    """Characters of the blocks that structure keeps, 0 for others; negative where a main element holds them."""
+    if any(k and m for _, k, m in found):
+        return [-len(t) if k and m else 0 for t, k, m in found]
+    return [len(t) if k else 0 for t, k, _ in found]
+
+
+def boilerplate(own: list[int], sizes: list[int], near: list[tuple[list[int], list[int]]]) -> list[int]:
+    """Indices of the lines that a page shares with neighbours (lines, content_sizes) which are no copies of it.
+
+    Inside a main element, a neighbour that shares most of the content may be a revision of the same
+    text; what it shares goes only where another such neighbour has it, too.
+    """
+    cut: set[int] = set()
+    doubtful: list[set[int]] = []
+    main = any(n < 0 for n in sizes)
+    for other, others in near:
+        both = set(shared_lines(own, other))
+        common = {own[k] for k in both}
+        mine, theirs = [k for k, n in enumerate(sizes) if n], [k for k, n in enumerate(others) if n]
+        held, fresh = [k for k in mine if k in both], [k for k in theirs if other[k] not in common]
+        if not mine or not theirs or len(held) >= COPIES * max(len(mine), len(theirs)) or (main and len(held) == len(mine)):
+            if mine and theirs or len(both) >= COPIES * max(len(own), len(other)):
+                continue
+        least = min(sum(map(abs, sizes)), sum(map(abs, others)))
+        if main and 2 * len(held) > min(len(mine), len(theirs)) and 2 * sum(abs(sizes[k]) for k in held) > least:
+            doubtful.append(both)
+        else:
+            cut |= both
+    if len(doubtful) > 1:
+        cut |= set.intersection(*doubtful)
+    return sorted(cut)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("page_id", "url", "host", "path", "lines", "kept", "main", "hashes")}
+        out: dict[str, list] = {k: [] for k in ("page_id", "url", "host", "path", "lines", "hashes", "sizes")}
         for page_id, url, page in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html")), strict=True):
             try:
                 parts = urlsplit(url or "")
@@ -160,36 +194,28 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except ValueError:
                 host, path = "", url
             found = page_blocks(page)
-            for k, v in {"page_id": page_id, "url": url, "host": host, "path": path, "lines": [f[0] for f in found], "kept": [f[1] for f in found], "main": [f[2] for f in found], "hashes": [xxhash.xxh3_64_intdigest(f[0]) - (1 << 63) for f in found]}.items():
+            for k, v in {"page_id": page_id, "url": url, "host": host, "path": path, "lines": [f[0] for f in found], "hashes": [xxhash.xxh3_64_intdigest(f[0]) - (1 << 63) for f in found], "sizes": content_sizes(found)}.items():
                 out[k].append(v)
-        kinds = {"page_id": pa.int64(), "lines": pa.list_(pa.string()), "kept": pa.list_(pa.bool_()), "main": pa.list_(pa.bool_()), "hashes": pa.list_(pa.int64())}
+        kinds = {"page_id": pa.int64(), "lines": pa.list_(pa.string()), "hashes": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32())}
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], names=list(out))
 
 
 def _diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [batch.column(k).to_pylist() for k in ("row", "hashes", "before", "after")]
+        rows = [batch.column(k).to_pylist() for k in ("row", "hashes", "sizes", "before", "after")]
         out = []
-        for _, own, *near in zip(*rows, strict=True):
-            cut: set[int] = set()
-            for other in near:
-                if other and own:
-                    both = shared_lines(own, other)
-                    if len(both) < COPIES * max(len(own), len(other)):
-                        cut.update(both)
-            out.append(sorted(cut))
+        for _, own, sizes, *near in zip(*rows, strict=True):
+            out.append(boilerplate(own, sizes, [(p["hashes"], p["sizes"]) for p in near if p and p["hashes"]]) if own else [])
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.int32()))], names=["row", "shared"])
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, shared = [], []
-        for lines, kept, main, cut in zip(*(batch.column(k).to_pylist() for k in ("lines", "kept", "main", "shared")), strict=True):
+        for lines, sizes, cut in zip(*(batch.column(k).to_pylist() for k in ("lines", "sizes", "shared")), strict=True):
             cut = set(cut or ())
             shared.append(len(cut))
-            # What differencing deletes is what no main element vouches for.
-            inside = any(m and k for m, k in zip(main, kept, strict=True))
-            texts.append("\n".join(t for i, (t, k, m) in enumerate(zip(lines, kept, main, strict=True)) if k and (m if inside else i not in cut)))
+            texts.append("\n".join(t for i, (t, n) in enumerate(zip(lines, sizes, strict=True)) if n and i not in cut))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(shared, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
 
@@ -203,42 +229,42 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nearest_pages(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, hashes, before, after): the lines of the pages before and after in order of path within a host.
+    """(row, hashes, sizes, before, after): the lines of the pages before and after in order of path within a host.
 
-    pages: (row, host, path, hashes). Ranges of (host, path, row) are sorted, so that a host of any
+    pages: (row, host, path, hashes, sizes). Ranges of (host, path, row) are sorted, so that a host of any
     size is spread over tasks; the last page of a range is handed to the next one by a small table.
     """
     spark = pages.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = pages.repartitionByRange(ranges, "host", "path", "row").sortWithinPartitions("host", "path", "row")
-    placed = scratch.save(sorted_.mapInArrow(_place, "row long, host string, path string, hashes array<long>, part int, at long"), "placed")
+    placed = scratch.save(sorted_.mapInArrow(_place, "row long, host string, path string, hashes array<long>, sizes array<int>, part int, at long"), "placed")
     within = Window.partitionBy("part").orderBy("at")
-    edges = placed.groupBy("part").agg(F.min_by(F.struct("host", "hashes"), "at").alias("first"), F.max_by(F.struct("host", "hashes"), "at").alias("last"))
+    edges = placed.groupBy("part").agg(F.min_by(F.struct("host", "hashes", "sizes"), "at").alias("first"), F.max_by(F.struct("host", "hashes", "sizes"), "at").alias("last"))
     across = Window.partitionBy(F.lit(0)).orderBy("part")
     edges = edges.select("part", F.lag("last").over(across).alias("from_left"), F.lead("first").over(across).alias("from_right"))
-    both = placed.withColumn("left", F.lag(F.struct("host", "hashes")).over(within)).withColumn("right", F.lead(F.struct("host", "hashes")).over(within)).join(F.broadcast(edges), "part")
+    both = placed.withColumn("left", F.lag(F.struct("host", "hashes", "sizes")).over(within)).withColumn("right", F.lead(F.struct("host", "hashes", "sizes")).over(within)).join(F.broadcast(edges), "part")
 
     def same_host(neighbour):
-        return F.when(neighbour["host"] == F.col("host"), neighbour["hashes"])
+        return F.when(neighbour["host"] == F.col("host"), neighbour)
 
-    return both.select("row", "hashes", same_host(F.coalesce("left", "from_left")).alias("before"), same_host(F.coalesce("right", "from_right")).alias("after"))
+    return both.select("row", "hashes", "sizes", same_host(F.coalesce("left", "from_left")).alias("before"), same_host(F.coalesce("right", "from_right")).alias("after"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): the main text, a line a block.
 
     Blocks in menus, footers, sidebars, notices, adverts, forms and comments go by element, role, class
-    or id. If the page has an article or main element, the rest of its blocks stays; otherwise those go
+    or id, and what is outside of an article or main element if there is one. Of the rest, those go
     that the page shares with its neighbours by URL path within the host, aligned by longest common
     subsequence, unless the two pages are copies. n_shared counts the aligned blocks. Null or empty
     html gives an empty text; null urls form a host of their own; repeated rows get the same answer;
     other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    parsed = string_column(pages.select("page_id", "url", "html"), "html").mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, kept array<boolean>, main array<boolean>, hashes array<long>")
+    parsed = string_column(pages.select("page_id", "url", "html"), "html").mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, hashes array<long>, sizes array<int>")
     parsed = scratch.save(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
-    shared = nearest_pages(parsed.select("row", "host", "path", "hashes"), scratch).mapInArrow(_diff, "row long, shared array<int>")
-    return parsed.join(shared, "row").select("page_id", "url", "lines", "kept", "main", "shared").mapInArrow(_join, "page_id long, url string, text string, n_chars long, n_shared long")
+    shared = nearest_pages(parsed.select("row", "host", "path", "hashes", "sizes"), scratch).mapInArrow(_diff, "row long, shared array<int>")
+    return parsed.join(shared, "row").select("page_id", "url", "lines", "sizes", "shared").mapInArrow(_join, "page_id long, url string, text string, n_chars long, n_shared long")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,15 @@ def test_pages(spark):
     assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_with_notices_inside_the_article(spark):
+    page = "<html><body><nav>Menu</nav><article><h1>Title {0}</h1><p>Share this page with a friend</p><p>{1}</p><p>{2}</p></article></body></html>"
+    rows = [(k, f"http://h.example/a/{k}", page.format(k, *(" ".join(RNG.choice(WORDS) for _ in range(30)) for _ in range(2)))) for k in range(4)]
+    rows += [(10 + k, f"http://copies.example/a/{k}", f"<article><p>{BASE}</p><p>{BASE} more</p></article><p>Visitor {k}</p>") for k in range(3)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k][0] == f"Title {k}" and len(got[k]) == 3 and "Share this page with a friend" not in got[k] for k in range(4))
+    assert all(got[10 + k] == [BASE, BASE + " more"] for k in range(3))
+
+
 def test_language(spark, edge, empty):
     rows = [(k, " ".join(RNG.choice(v) for _ in range(20)), lang) for k in range(400) for lang, v in [RNG.choice([("en", ["the", "and", "thing"]), ("de", ["der", "und", "ding"]), ("fr", ["le", "et", "chose"])])]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
