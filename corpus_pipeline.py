@@ -19,16 +19,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with a unique row key, as a written table; and (doc_id, text) of them with the key for an id."""
+    keyed = Scratch(spark, "pipeline-rows").save(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    return keyed, keyed.select(F.col("_row").alias("doc_id"), "text")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id. One row stays of an id that repeats."""
-    kept = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies, the row with the smallest id; rows of one id, or without any, go by their content."""
+    keyed, texts = _keyed(spark, docs, "near")
+    groups = jaccard_components(texts).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    # Rows with equal content are interchangeable, so that reruns keep the same one whatever its key is.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
+    ranked = keyed.select("_row", order.alias("_order")).join(groups, "_row")
+    kept = ranked.groupBy("_group").agg(F.min("_order").alias("_least")).select(F.col("_least._row").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    keyed, texts = _keyed(spark, docs, "benchmark")
+    found = contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

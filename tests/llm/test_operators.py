@@ -248,3 +248,16 @@ def test_pipeline_keeps_columns(spark, edge, tmp_path):
         docs = Scratch(spark, "t").save(out, name.replace(" ", "-"))
         sizes.append(docs.count())
     assert sizes[0] == 8 and sizes[1] == sizes[2] == 4
+
+
+def test_pipeline_rows_without_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [" ".join(RNG.choice(WORDS) for _ in range(60)) for _ in range(12)]
+    rows = [(None if k < 6 else 7 if k < 9 else k, t, "en", "a", len(t)) for k, t in enumerate(texts)] + [(None, texts[11] + " more", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(texts)
+    spark.createDataFrame([(1, texts[0]), (2, texts[7])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.drop_benchmark(spark, kept, str(tmp_path))
+    assert sorted(r["text"] for r in clean.collect()) == sorted(t for k, t in enumerate(texts) if k not in (0, 7))
