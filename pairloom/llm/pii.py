@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +28,10 @@ _WORD = re.compile(r"[^\W\d_]{2,}")
 
 #: Words to either side of personal data that count as its context.
 CONTEXT_WORDS = 8
-#: Documents with a term beside a kind of data below which nothing is said about the term.
-MIN_SUPPORT = 20
+#: Chance, over all terms tested, that a term is said to disclose something which it meets by accident.
+CHANCE = 0.01
 #: Shares of the kind's information that a term may disclose before it is generalised, or removed.
 GENERALISE, REMOVE = 0.5, 0.8
-_EXTENT = 400
 
 
 def _luhn(digits: str) -> bool:
@@ -67,30 +69,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context_terms(text: str, base: list[tuple[int, int, int]]) -> dict[tuple[str, int], list[tuple[int, int]]]:
-    """(term, kind) to the term's positions within CONTEXT_WORDS of data of that kind, outside of all data."""
-    out: dict[tuple[str, int], set[tuple[int, int]]] = {}
+def _entity(text: str, kind: int, start: int, end: int) -> int:
+    """A 64-bit name of one address or number; digits alone tell cards and phones apart."""
+    data = text[start:end].lower()
+    if kind >= 2:
+        data = "".join(filter(str.isdigit, data))
+    return xxhash.xxh3_64_intdigest(f"{kind}:{data}") - (1 << 63)
+
+
+def words_outside(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, word in lower case) of the words that touch no data."""
+    out = []
+    at = sorted((s, e) for s, _, e in base)
+    ends = k = 0
+    for m in _WORD.finditer(text):
+        while k < len(at) and at[k][0] < m.end():
+            ends = max(ends, at[k][1])
+            k += 1
+        if m.start() >= ends:
+            out.append((m.start(), m.end(), m[0].lower()))
+    return out
+
+
+def context_terms(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, kind, entity) of each term within CONTEXT_WORDS of data, outside of all data."""
+    words = words_outside(text, base)
+    starts = [a for a, _, _ in words]
+    met: set[tuple[str, int, int]] = set()
     for start, kind, end in base:
-        left = [(m.start() + lo, m.end() + lo, m[0]) for lo in [max(0, start - _EXTENT)] for m in _WORD.finditer(text[lo:start])][-CONTEXT_WORDS:]
-        right = [(m.start() + end, m.end() + end, m[0]) for m in _WORD.finditer(text[end : end + _EXTENT])][:CONTEXT_WORDS]
-        for a, b, word in left + right:
-            if not any(s < b and a < e for s, _, e in base):
-                out.setdefault((word.lower(), kind), set()).add((a, b))
-    return {k: sorted(v) for k, v in out.items()}
+        left, right = bisect_left(starts, start), bisect_left(starts, end)
+        entity = _entity(text, kind, start, end)
+        met.update((w, kind, entity) for _, _, w in words[max(0, left - CONTEXT_WORDS) : left] + words[right : right + CONTEXT_WORDS])
+    return sorted(met)
+
+
+_TERMS = "array<struct<term:string,kind:int,entity:long>>"
 
 
 def _find(with_text: bool):
+    """Data, terms beside it, entities; and the text where it has data, or always."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, terms = [], []
+            spans, terms, entities, texts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                terms.append([{"term": t, "kind": k, "start": a, "end": b} for (t, k), at in context_terms(text, base).items() for a, b in at] if base else [])
+                entities.append(sorted({_entity(text, k, s, e) for s, k, e in base}))
+                terms.append([{"term": t, "kind": k, "entity": e} for t, k, e in context_terms(text, base)] if base else [])
+                texts.append(text if base or with_text else None)
             span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-            term = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-            arrays = [batch.column("doc_id"), *([batch.column("text")] if with_text else []), pa.array(spans, span), pa.array(terms, term)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(["text"] if with_text else []), "base", "terms"])
+            term = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64())]))
+            arrays = [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, span), pa.array(terms, term), pa.array(entities, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "base", "terms", "entities"])
 
     return run
 
@@ -126,19 +157,28 @@ def _all_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 SHARED_TERMS = 200_000
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(term, kind, disclosed): pointwise mutual information of term and kind over the kind's information.
+def disclosing_terms(docs: DataFrame, found: DataFrame, chance: float = CHANCE) -> DataFrame:
+    """(term, kind, entity, disclosed): pointwise mutual information of a term and what it discloses over the latter's information.
 
-    found: rows with terms as _find() gives them, one for each row of docs (text). With n documents,
-    c with the kind, f with the term and j with the term beside the kind, PMI is log2(j * n / (f * c))
-    and the kind's information log2(n / c): 1 means that the term never occurs without such data, 0
-    that it says nothing about it. All counts are over all documents.
+    found: rows with terms and entities as _find() gives them, one for each row of docs (text). A term
+    may disclose one entity, an address or number, or a kind of them; then the entity is null. With n
+    documents, c with the entity or kind, f with the term and j with the term beside it, PMI is
+    log2(j * n / (f * c)) and the information log2(n / c): 1 means that the term never occurs without
+    such data, 0 that it says nothing about it. All counts are over all documents. By chance, f * c / n
+    documents would have both; terms stay whose j has, by Chernoff's bound on the tail of that, a
+    probability below `chance` over the number of pairs tested.
     """
     spark = docs.sparkSession
     n = found.count()
     kinds = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("c"))
-    pairs = found.select(F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["kind"].alias("kind"))))).alias("t")).groupBy("t.term", "t.kind").agg(F.count("*").alias("j"))
-    pairs = pairs.where(F.col("j") >= min_support)
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c"))
+    alike = F.array_distinct(F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["kind"].alias("kind"), F.lit(None).cast("long").alias("entity"))))
+    pairs = found.select(F.explode(F.concat(alike, "terms")).alias("t")).groupBy("t.term", "t.kind", "t.entity").agg(F.count("*").alias("j"))
+    pairs = Scratch(spark, "pii-pairs").save(pairs, "pairs")
+    bound = math.log(max(pairs.count(), 1) / chance)
+    # As f >= j and c >= j, no pair of so few documents passes the bound: j * n / (f * c) <= n / j.
+    least = next((j for j in range(1, n + 1) if j * math.log(n / j) - j + j * j / n >= bound), n + 1)
+    pairs = pairs.where(F.col("j") >= least)
     terms = pairs.select("term").distinct()
     some = [r["term"] for r in terms.limit(SHARED_TERMS + 1).collect()]
     texts = docs.select("text")
@@ -147,31 +187,47 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_S
     else:
         counted = texts.mapInArrow(_all_frequencies, "term string, n long").join(terms, "term", "left_semi")
     f = counted.groupBy("term").agg(F.sum("n").alias("f")) if some else spark.createDataFrame([], "term string, f long")
-    share = F.log2(F.col("j") * F.lit(float(n)) / (F.col("f") * F.col("c"))) / F.log2(F.lit(float(n)) / F.col("c"))
-    return pairs.join(f, "term").join(F.broadcast(kinds), "kind").where(F.col("c") < n).withColumn("disclosed", share).select("term", "kind", "disclosed")
+    of_kinds = pairs.where("entity is null").join(F.broadcast(kinds), "kind").select("term", "kind", "entity", "j", "c")
+    of_entities = pairs.where("entity is not null").join(entities, "entity").select("term", "kind", "entity", "j", "c")
+    mean = F.col("f") * F.col("c") / F.lit(float(n))
+    beyond = F.col("j") * F.log(F.col("j") / mean) - F.col("j") + mean
+    share = F.log2(F.col("j") / mean) / F.log2(F.lit(float(n)) / F.col("c"))
+    met = of_kinds.unionByName(of_entities).join(f, "term").where(F.col("c") < n)
+    return met.where((F.col("j") > mean) & (beyond >= bound)).withColumn("disclosed", share).select("term", "kind", "entity", "disclosed")
 
 
 def _digest(spans: list[dict]) -> str:
     return ",".join(f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in sorted(spans, key=lambda s: (s["start"], s["kind"], s["end"])))
 
 
-def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contract's columns, and the sanitised text where there is a text."""
-    for batch in batches:
-        rows = batch.to_pylist()
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", *(["sanitised"] if "text" in batch.schema.names else []))}
-        for r in rows:
-            base, more = r["base"], [{"kind": 4, **s} for s in r["more"] or []]
-            out["doc_id"].append(r["doc_id"])
-            for k, name in enumerate(KINDS[:4]):
-                out[f"n_{name}"].append(sum(s["kind"] == k for s in base))
-            out["n_term"].append(len(more))
-            out["base_sha256"].append(hashlib.sha256(_digest(base).encode()).hexdigest())
-            out["spans"].append(_digest(base + more))
-            if "sanitised" in out:
-                out["sanitised"].append(sanitise(r["text"], base + more))
-        kinds = {"doc_id": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "sanitised": pa.string()}
-        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+def _written(shared, with_text: bool):
+    """The contract's columns, and the sanitised text; shared has the share disclosed by term for each kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_kinds = shared.value
+        for batch in batches:
+            rows = batch.to_pylist()
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", *(["sanitised"] if with_text else []))}
+            for r in rows:
+                base, more = r["base"], []
+                if base:
+                    own = {t["term"]: t["disclosed"] for t in r["risky"] or []}
+                    tables = [own, *(of_kinds[k] for k in {s["kind"] for s in base} if k in of_kinds)]
+                    for a, b, word in words_outside(r["text"], [(s["start"], s["kind"], s["end"]) for s in base]):
+                        if any(word in t for t in tables):
+                            more.append({"kind": 4, "start": a, "end": b, "disclosed": max(t[word] for t in tables if word in t)})
+                out["doc_id"].append(r["doc_id"])
+                for k, name in enumerate(KINDS[:4]):
+                    out[f"n_{name}"].append(sum(s["kind"] == k for s in base))
+                out["n_term"].append(len(more))
+                out["base_sha256"].append(hashlib.sha256(_digest(base).encode()).hexdigest())
+                out["spans"].append(_digest(base + more))
+                if with_text:
+                    out["sanitised"].append(sanitise(r["text"], base + more))
+            kinds = {"doc_id": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "sanitised": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+
+    return run
 
 
 def sanitise(text: str, spans: list[dict]) -> str:
@@ -186,23 +242,28 @@ def sanitise(text: str, spans: list[dict]) -> str:
     return "".join(out) + text[done:]
 
 
-def find_personal_data(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, with_text: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): personal data, and nearby terms that disclose that kind of data.
+def find_personal_data(docs: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE, with_text: bool = False) -> DataFrame:
+    """Per row of docs (doc_id, text): personal data, and terms that disclose an address or number or its kind.
 
-    Positions count code points, ends are exclusive. with_text adds the sanitised text. A null or
-    empty text has no spans; repeated rows each get their answer and each count in the statistics;
-    other columns are ignored; an empty table gives no rows.
+    A term that discloses an entity or kind is marked wherever it occurs in the texts that hold the
+    entity or data of the kind beside it. Positions count code points, ends are exclusive. with_text
+    adds the sanitised text. A null or empty text has no spans; repeated rows each get their answer and
+    each count in the statistics; other columns are ignored; an empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "pii")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "pii")
     docs = string_column(docs.select("doc_id", "text"), "text")
-    schema = f"doc_id long, {'text string, ' if with_text else ''}base array<struct<start:int,kind:int,end:int>>, terms array<struct<term:string,kind:int,start:int,end:int>>"
-    found = scratch.save(docs.mapInArrow(_find(with_text), schema).withColumn("row", F.monotonically_increasing_id()), "found")
-    risky = disclosing_terms(docs, found, min_support).where(F.col("disclosed") >= generalise)
-    placed = found.select("row", F.explode("terms").alias("t")).select("row", "t.*").join(risky, ["term", "kind"])
-    more = placed.groupBy("row", "start", "end").agg(F.max("disclosed").alias("disclosed")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosed"))).alias("more"))
-    rows = found.drop("terms").join(more, "row", "left").drop("row")
+    found = scratch.save(docs.mapInArrow(_find(with_text), f"doc_id long, text string, base array<struct<start:int,kind:int,end:int>>, terms {_TERMS}, entities array<long>").withColumn("row", F.monotonically_increasing_id()), "found")
+    risky = scratch.save(disclosing_terms(docs, found, chance).where(F.col("disclosed") >= generalise), "risky")
+    of_kinds: dict[int, dict[str, float]] = {}
+    for r in risky.where("entity is null").collect():
+        of_kinds.setdefault(r["kind"], {})[r["term"]] = r["disclosed"]
+    held = found.select("row", F.explode("entities").alias("entity")).join(risky.where("entity is not null").select("entity", "term", "disclosed"), "entity")
+    own = held.groupBy("row", "term").agg(F.max("disclosed").alias("disclosed")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", "disclosed"))).alias("risky"))
+    rows = found.select("row", "doc_id", "text", "base")
+    rows = rows.where(F.size("base") > 0).join(own, "row", "left").unionByName(rows.where(F.size("base") == 0), allowMissingColumns=True).drop("row")
     out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string" + (", sanitised string" if with_text else "")
-    return rows.mapInArrow(_written, out)
+    return rows.mapInArrow(_written(spark.sparkContext.broadcast(of_kinds), with_text), out)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,16 @@ def test_disclosing_terms(spark):
     assert "term:9:16" in got[0] and "term:17:21" in got[0] and "term:0:8" not in got[0] and got[100] == ""
 
 
+def test_terms_that_disclose_one_address(spark):
+    filler = lambda k: " ".join(RNG.choice(WORDS) for _ in range(k))
+    rows = [(k, f"zanzibar {'x' * 500} {filler(3)} bob@mail.example quorvath {filler(30)} Quorvath") for k in range(6)]
+    rows += [(100 + k, f"{filler(5)} user{k}@mail.example {filler(5)}") for k in range(200)] + [(400 + k, filler(20)) for k in range(2000)]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    for k in range(6):
+        assert "quorvath" not in got[k]["sanitised"].lower() and "zanzibar" not in got[k]["sanitised"] and "term:0:8" in got[k]["spans"]
+    assert sum(got[100 + k]["n_term"] for k in range(200)) == 0 and all(got[400 + k]["spans"] == "" for k in range(2000))
+
+
 def test_pages(spark):
     page = "<html><body><nav>Menu</nav><div class='top'>Site name</div><div><p>Text {0} &amp; more<p>Second   {0}</div><div class=comments>Me too</div></body></html>"
     rows = [(k, f"http://h.example/a/{k}", page.format(k)) for k in range(4)] + [(9, None, None), (10, "x", "<article><h1>T</h1>b<br>c<aside>no</aside></article>rest"), (11, "http://[bad", "<p>a")]
