@@ -7,10 +7,11 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import Scratch, string_column, table
@@ -28,8 +29,11 @@ SKIP = frozenset("nav footer aside form head menu dialog button".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related responses replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 MAIN = frozenset(("article", "main"))
-#: Pages that share this share of their lines or more are copies, which says nothing about boilerplate.
-COPIES = 0.9
+#: Pages that share this share of their lines or more may be copies, which says nothing about boilerplate;
+#: they are none if both have so many characters in lines unlike any line of the other one.
+COPIES, FRESH = 0.9, 40
+#: Bits in which the sketches of two versions of a line differ at most.
+ALIKE = 20
 
 
 def _skips(tag: str, attrs: str) -> bool:
@@ -157,22 +161,43 @@ def content_sizes(found: list[tuple[str, bool, bool]]) -> list[int]:
     return [len(t) if k else 0 for t, k, _ in found]
 
 
-def boilerplate(own: list[int], sizes: list[int], near: list[tuple[list[int], list[int]]]) -> list[int]:
-    """Indices of the lines that a page shares with neighbours (lines, content_sizes) which are no copies of it.
+def sketch(line: str) -> int:
+    """64 bits, most of them equal for lines that share most of their words."""
+    words = line.lower().split()
+    bits = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
+    return int((np.uint64(1) << np.flatnonzero(2 * bits.sum(0) > len(words)).astype(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _unlike(lines: list[tuple[int, int]], others: list[tuple[int, int]]) -> int:
+    """Characters of the lines (size, sketch) that resemble none of the others."""
+    return sum(abs(n) for n, x in lines if all(((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() > ALIKE for _, y in others))
+
+
+def boilerplate(page: dict, near: list[dict]) -> list[int]:
+    """Indices of the lines that a page shares with neighbours which are no copies of it; pages have hashes, sizes, sketches.
 
     Inside a main element, a neighbour that shares most of the content may be a revision of the same
     text; what it shares goes only where another such neighbour has it, too.
     """
+    own, sizes = page["hashes"], page["sizes"]
     cut: set[int] = set()
     doubtful: list[set[int]] = []
     main = any(n < 0 for n in sizes)
-    for other, others in near:
+    for p in near:
+        other, others = p["hashes"], p["sizes"]
         both = set(shared_lines(own, other))
         common = {own[k] for k in both}
         mine, theirs = [k for k, n in enumerate(sizes) if n], [k for k, n in enumerate(others) if n]
-        held, fresh = [k for k in mine if k in both], [k for k in theirs if other[k] not in common]
-        if not mine or not theirs or len(held) >= COPIES * max(len(mine), len(theirs)) or (main and len(held) == len(mine)):
-            if mine and theirs or len(both) >= COPIES * max(len(own), len(other)):
+        held = [k for k in mine if k in both]
+        if not mine or not theirs:
+            if len(both) >= COPIES * max(len(own), len(other)):
+                continue
+        elif main and len(held) == len(mine):
+            continue
+        elif len(held) >= COPIES * max(len(mine), len(theirs)):
+            left = [(sizes[k], page["sketches"][k]) for k in mine if k not in both]
+            right = [(others[k], p["sketches"][k]) for k in theirs if other[k] not in common]
+            if _unlike(left, right) < FRESH or _unlike(right, left) < FRESH:
                 continue
         least = min(sum(map(abs, sizes)), sum(map(abs, others)))
         if main and 2 * len(held) > min(len(mine), len(theirs)) and 2 * sum(abs(sizes[k]) for k in held) > least:
@@ -186,7 +211,7 @@ def boilerplate(own: list[int], sizes: list[int], near: list[tuple[list[int], li
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("page_id", "url", "host", "path", "lines", "hashes", "sizes")}
+        out: dict[str, list] = {k: [] for k in ("page_id", "url", "host", "path", "lines", "hashes", "sizes", "sketches")}
         for page_id, url, page in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html")), strict=True):
             try:
                 parts = urlsplit(url or "")
@@ -194,21 +219,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except ValueError:
                 host, path = "", url
             found = page_blocks(page)
-            for k, v in {"page_id": page_id, "url": url, "host": host, "path": path, "lines": [f[0] for f in found], "hashes": [xxhash.xxh3_64_intdigest(f[0]) - (1 << 63) for f in found], "sizes": content_sizes(found)}.items():
+            for k, v in {"page_id": page_id, "url": url, "host": host, "path": path, "lines": [f[0] for f in found], "hashes": [xxhash.xxh3_64_intdigest(f[0]) - (1 << 63) for f in found], "sizes": content_sizes(found), "sketches": [sketch(f[0]) for f in found]}.items():
                 out[k].append(v)
-        kinds = {"page_id": pa.int64(), "lines": pa.list_(pa.string()), "hashes": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32())}
+        kinds = {"page_id": pa.int64(), "lines": pa.list_(pa.string()), "hashes": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "sketches": pa.list_(pa.int64())}
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], names=list(out))
 
 
-def _diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [batch.column(k).to_pylist() for k in ("row", "hashes", "sizes", "before", "after")]
-        out = []
-        for _, own, sizes, *near in zip(*rows, strict=True):
-            out.append(boilerplate(own, sizes, [(p["hashes"], p["sizes"]) for p in near if p and p["hashes"]]) if own else [])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.int32()))], names=["row", "shared"])
-
-
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, shared = [], []
@@ -228,26 +244,94 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def nearest_pages(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, hashes, sizes, before, after): the lines of the pages before and after in order of path within a host.
+_PAGE = ("host", "hashes", "sizes", "sketches")
 
-    pages: (row, host, path, hashes, sizes). Ranges of (host, path, row) are sorted, so that a host of any
-    size is spread over tasks; the last page of a range is handed to the next one by a small table.
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict, list[int]]]:
+    """(part, page, rows) of each run of pages of a part with equal lines; the rows come sorted by part and place."""
+    part, page, rows = None, None, []
+    for batch in batches:
+        # A long batch of long pages is not unpacked at once.
+        for lo in range(0, batch.num_rows, 256):
+            for r in batch.slice(lo, 256).to_pylist():
+                now = {k: r[k] for k in _PAGE}
+                if page is not None and (part, page) == (r["part"], now):
+                    rows.append(r["row"])
+                    continue
+                if page is not None:
+                    yield part, page, rows
+                part, page, rows = r["part"], now, [r["row"]]
+    if page is not None:
+        yield part, page, rows
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part, the pages of its first two and last two runs, in order; (part, place, page)."""
+
+    def written(part: int, pages: list[dict]) -> pa.RecordBatch:
+        columns = [pa.array([p[k] for p in pages], pa.string() if k == "host" else pa.list_(pa.int32() if k == "sizes" else pa.int64())) for k in _PAGE]
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(pages), pa.int32()), pa.array(range(len(pages)), pa.int32()), *columns], names=["part", "place", *_PAGE])
+
+    last, held = None, []
+    for part, page, _ in _runs(batches):
+        if part != last and held:
+            yield written(last, held)
+            held = []
+        last = part
+        held = [*held, page] if len(held) < 4 else [*held[:2], held[3], page]
+    if held:
+        yield written(last, held)
+
+
+def _diff(shared):
+    """(row, shared) from the pages of the runs before and after; a run at the edge of its part finds one in other parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = shared.value
+        parts = sorted(edges)
+
+        def across(part: int, page: dict, step: int) -> dict | None:
+            for other in parts[parts.index(part) + 1 :] if step > 0 else parts[: parts.index(part)][::-1]:
+                for p in edges[other][::step]:
+                    if p != page:
+                        return p
+            return None
+
+        def answered(part: int, before: dict | None, page: dict, after: dict | None, rows: list[int]) -> pa.RecordBatch:
+            near = [p for p in (before or across(part, page, -1), after or across(part, page, 1)) if p and p["host"] == page["host"] and p["hashes"]]
+            cut = boilerplate(page, near) if page["hashes"] else []
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([cut] * len(rows), pa.list_(pa.int32()))], names=["row", "shared"])
+
+        before = held = None
+        for part, page, rows in _runs(batches):
+            if held:
+                same = held[0] == part
+                yield answered(held[0], before, held[1], page if same else None, held[2])
+                before = held[1] if same else None
+            held = part, page, rows
+        if held:
+            yield answered(held[0], before, held[1], None, held[2])
+
+    return run
+
+
+def shared_with_nearest(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, shared): the lines that pages share with the nearest differing ones in order of path within a host.
+
+    pages: (row, host, path, hashes, sizes, sketches). Ranges of (host, path, row) are sorted, so that a
+    host of any size is spread over tasks. Pages with equal lines that follow each other are one run,
+    and runs meet; four pages of each range are handed to the others by a small table.
     """
     spark = pages.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = pages.repartitionByRange(ranges, "host", "path", "row").sortWithinPartitions("host", "path", "row")
-    placed = scratch.save(sorted_.mapInArrow(_place, "row long, host string, path string, hashes array<long>, sizes array<int>, part int, at long"), "placed")
-    within = Window.partitionBy("part").orderBy("at")
-    edges = placed.groupBy("part").agg(F.min_by(F.struct("host", "hashes", "sizes"), "at").alias("first"), F.max_by(F.struct("host", "hashes", "sizes"), "at").alias("last"))
-    across = Window.partitionBy(F.lit(0)).orderBy("part")
-    edges = edges.select("part", F.lag("last").over(across).alias("from_left"), F.lead("first").over(across).alias("from_right"))
-    both = placed.withColumn("left", F.lag(F.struct("host", "hashes", "sizes")).over(within)).withColumn("right", F.lead(F.struct("host", "hashes", "sizes")).over(within)).join(F.broadcast(edges), "part")
-
-    def same_host(neighbour):
-        return F.when(neighbour["host"] == F.col("host"), neighbour)
-
-    return both.select("row", "hashes", "sizes", same_host(F.coalesce("left", "from_left")).alias("before"), same_host(F.coalesce("right", "from_right")).alias("after"))
+    sorted_ = pages.repartitionByRange(ranges, "host", "path", "row").sortWithinPartitions("host", "path", "row").select("row", *_PAGE)
+    fields = "row long, host string, hashes array<long>, sizes array<int>, sketches array<long>"
+    placed = scratch.save(sorted_.mapInArrow(_place, f"{fields}, part int, at long"), "placed")
+    in_order = placed.repartition(ranges, "part").sortWithinPartitions("part", "at")
+    edges: dict[int, list[dict]] = {}
+    for r in in_order.mapInArrow(_edges, "part int, place int, host string, hashes array<long>, sizes array<int>, sketches array<long>").orderBy("part", "place").collect():
+        edges.setdefault(r["part"], []).append({k: r[k] for k in _PAGE})
+    return in_order.mapInArrow(_diff(spark.sparkContext.broadcast(edges)), "row long, shared array<int>")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -256,14 +340,14 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Blocks in menus, footers, sidebars, notices, adverts, forms and comments go by element, role, class
     or id, and what is outside of an article or main element if there is one. Of the rest, those go
     that the page shares with its neighbours by URL path within the host, aligned by longest common
-    subsequence, unless the two pages are copies. n_shared counts the aligned blocks. Null or empty
+    subsequence, unless the two pages are copies. Neighbours are the nearest pages with other lines. n_shared counts the aligned blocks. Null or empty
     html gives an empty text; null urls form a host of their own; repeated rows get the same answer;
     other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    parsed = string_column(pages.select("page_id", "url", "html"), "html").mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, hashes array<long>, sizes array<int>")
+    parsed = string_column(pages.select("page_id", "url", "html"), "html").mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, hashes array<long>, sizes array<int>, sketches array<long>")
     parsed = scratch.save(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
-    shared = nearest_pages(parsed.select("row", "host", "path", "hashes", "sizes"), scratch).mapInArrow(_diff, "row long, shared array<int>")
+    shared = shared_with_nearest(parsed.select("row", "path", *_PAGE), scratch)
     return parsed.join(shared, "row").select("page_id", "url", "lines", "sizes", "shared").mapInArrow(_join, "page_id long, url string, text string, n_chars long, n_shared long")
 
 

@@ -234,6 +234,22 @@ def test_pages_with_notices_inside_the_article(spark):
     assert all(got[10 + k] == [BASE, BASE + " more"] for k in range(3))
 
 
+def test_pages_of_templates_and_copies(spark):
+    def said(k):
+        rng = random.Random(k)
+        return "".join(f"<p>{' '.join(rng.choice(WORDS) for _ in range(25))}</p>" for _ in range(3))
+
+    frame = "<body>" + "".join(f"<div>Offer {k} of this site</div>" for k in range(40)) + "{}</body>"
+    rows = [(k, f"http://t.example/a/{k}", frame.format(said(k))) for k in range(4)]
+    rows += [(100 + k, f"http://r.example/a?page={k:03d}", "<div>Site name</div>" + said(k // 50)) for k in range(100)]
+    rows += [(300 + k, f"http://c.example/a/{k}", f"{said(1) * 5}<p>Visitor {k}</p>") for k in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract_text(pages).collect()}
+    assert all(len(got[k]) == 3 and not any("Offer" in x for x in got[k]) for k in range(4))
+    assert all(len(got[100 + k]) == 3 and "Site name" not in got[100 + k] for k in range(100))
+    assert all(len(got[300 + k]) == 16 for k in range(3))
+
+
 def test_language(spark, edge, empty):
     rows = [(k, " ".join(RNG.choice(v) for _ in range(20)), lang) for k in range(400) for lang, v in [RNG.choice([("en", ["the", "and", "thing"]), ("de", ["der", "und", "ding"]), ("fr", ["le", "et", "chose"])])]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
