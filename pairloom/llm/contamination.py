@@ -83,10 +83,9 @@ def _items(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [plain_words(t) for t in batch.column("text").to_pylist()]
-            seeds = [np.unique(window_hashes(w, shortest)).view(np.int64) for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), batch.column("item"), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "item", "words", "seeds"]
-            )
+            seeds = [np.unique(window_hashes(w, shortest), return_counts=True) if len(w) >= shortest else (np.empty(0, np.uint64), np.empty(0, np.int64)) for w in words]
+            lists = [[w.view(np.int64) for w in words], [h.view(np.int64) for h, _ in seeds], [n for _, n in seeds]]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("item"), *(pa.array(v, pa.list_(pa.int64())) for v in lists)], names=["item_id", "item", "words", "seeds", "places"])
 
     return run
 
@@ -178,14 +177,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = MIN_TILE
     spark = docs.sparkSession
     scratch = Scratch(spark, "contamination")
     items = string_column(benchmark.select("item_id", "text"), "text").withColumn("item", F.monotonically_increasing_id())
-    items = scratch.save(items.mapInArrow(_items(shortest), "item_id long, item long, words array<long>, seeds array<long>").where(F.size("words") >= shortest), "items")
+    items = scratch.save(items.mapInArrow(_items(shortest), "item_id long, item long, words array<long>, seeds array<long>, places array<long>").where(F.size("words") >= shortest), "items")
     shared = build_filter(items.select(F.explode("seeds").alias("seed")))
     docs = string_column(docs.select("doc_id", "text"), "text")
     runs = scratch.save(docs.mapInArrow(_runs(shared, shortest), "doc_id long, runs array<array<long>>").withColumn("row", F.monotonically_increasing_id()), "runs")
     seeds = runs.select("row", "runs").mapInArrow(_seeds_of_runs(shortest), "row long, seed long")
-    of_items = items.select("item", F.size("words").alias("n"), F.explode("seeds").alias("seed"))
-    pairs = seeds.join(of_items, "seed").groupBy("row", "item").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    # Each tile of n words has n - shortest + 1 seeds, so no more than shared * shortest words are covered.
+    of_items = items.select("item", F.size("words").alias("n"), F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item", "n", F.col("s.seeds").alias("seed"), F.col("s.places").alias("places"))
+    pairs = seeds.join(of_items, "seed").groupBy("row", "item").agg(F.sum("places").alias("shared"), F.first("n").alias("n"))
+    # shared counts places of the item; each tile of n words has n - shortest + 1 of them, so no more than shared * shortest words are covered.
     pairs = pairs.where(F.col("shared") * shortest >= F.col("n") * coverage).select("row", "item")
     both = pairs.join(items.select("item", "item_id", "words"), "item").join(runs, "row").select("doc_id", "item_id", "item", "runs", "words")
     found = both.mapInArrow(_cover(shortest, coverage), "doc_id long, item_id long, item long, n_tiles long, covered long, n_words long")

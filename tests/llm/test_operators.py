@@ -180,6 +180,13 @@ def test_tiles_and_contamination(spark, edge, empty):
     assert contamination.contaminated(empty, items).count() == 0 and contamination.contaminated(edge, items.limit(0)).count() == 0
 
 
+def test_repetitive_items_are_found(spark):
+    line = "la li lo lu le ly lö "
+    docs = spark.createDataFrame([(1, "before it " + line * 12 + "after it"), (2, "la li lo lu le ly other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, line * 12), (2, "never seen in any of them")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["covered"]) for r in contamination.contaminated(docs, items).collect()] == [(1, 1, 84)]
+
+
 def test_mixing(spark, edge, empty):
     labels = _labels(spark)
     first, again = (sorted(map(tuple, mixing.mix_sources(edge, labels).collect()), key=str) for _ in range(2))
