@@ -359,7 +359,7 @@ def lsh_best_pair(spark, sf):
 
 @query(None)
 def lsh_best_of_attempts(spark, sf):
-    return _rounded(lsh.best_of_attempts(_embedded(spark, sf), 4, 3), "sim")
+    return _rounded(lsh.best_of_attempts(_embedded(spark, sf), 4), "sim")
 
 
 @query(

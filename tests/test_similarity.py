@@ -108,3 +108,13 @@ def test_entry_without_training_data(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_best_of_attempts_query_tries_all_seeds(spark, tmp_path, monkeypatch):
+    from pairloom import queries
+
+    spark.createDataFrame([(k, [float(k), 1.0, 2.0]) for k in range(8)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seeds, choose = [], lsh.choose_anchors
+    monkeypatch.setattr(lsh, "choose_anchors", lambda postings, k, seed=0: seeds.append(seed) or choose(postings, k, seed))
+    queries.QUERIES["lsh_best_of_attempts"](spark, str(tmp_path))
+    assert seeds == list(range(21))
