@@ -200,10 +200,21 @@ def tokenizer_version(name: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
+def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each digest that a task meets: copies are dropped before they are moved."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for d in batch.column("digest").to_pylist():
+            keep.append(d not in seen)
+            seen.add(d)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _encoder(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(TokenCounter, name)
-        for batch in batches:
+        for batch in _first_of_task(batches):
             n = counter.count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest").cast(pa.binary()), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
@@ -224,23 +235,30 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     cache: folder of a Parquet table (digest, n_tokens, version), read first and appended to; without
     one, a fresh cache serves this call. Content is normalised by null to empty only, as anything
     more would change counts; its SHA-256 and the tokenizer's are the key. Of the contents that the
-    cache lacks, one row each meets the encoder. Null ids, repeated rows and other columns are fine;
-    an empty table gives no rows.
+    cache lacks, one row each meets the encoder, whatever their ids. A digest that two runs have
+    appended at a time counts once. Null ids, repeated rows and other columns are fine; an empty
+    table gives no rows.
+
+    Each text moves at most once, by its digest; a task drops the copies that it meets before that,
+    so that copies of one text, be they a third of all rows, are a row a task. The join to stored
+    counts is an outer one, as the optimizer would move a semi or anti join below the exchange and
+    exchange the texts for it, too.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     cache = cache or f"{scratch.path}/cache"
     version = tokenizer_version(tokenizer)
-    texts = string_column(docs.select("doc_id", "text"), "text").withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
-    seen = scratch.save(texts.select("doc_id", "at", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    texts = string_column(docs.select("doc_id", "text"), "text").withColumn("digest", F.unhex(F.sha2("text", 256)))
+    seen = scratch.save(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
 
     def stored() -> DataFrame:
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache) if _exists(spark, cache) else spark.createDataFrame([], CACHE_SCHEMA)
-        return known.where(F.col("version") == version).select("digest", "n_tokens")
+        known = spark.read.schema(CACHE_SCHEMA).parquet(cache)
+        return known.where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
-    misses = seen.groupBy("digest").agg(F.min("at").alias("at")).join(stored(), "digest", "left_anti")
-    tasks = max(spark.sparkContext.defaultParallelism, (seen.agg(F.sum("n_bytes")).first()[0] or 0) // TASK_BYTES)
-    once = texts.select("at", "digest", "text").repartition(tasks, "at", "digest").join(misses, ["at", "digest"], "left_semi").select("digest", "text")
+    tasks = int(max(spark.sparkContext.defaultParallelism, (seen.agg(F.sum("n_bytes")).first()[0] or 0) // TASK_BYTES))
+    once = texts.select("digest", "text").mapInArrow(_first_of_task, "digest binary, text string").repartition(tasks, "digest")
+    if _exists(spark, cache):
+        once = once.join(stored().hint("merge"), "digest", "left").where("n_tokens is null").select("digest", "text")
     fresh = once.mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long").dropDuplicates(["digest"]).withColumn("version", F.lit(version))
     fresh.write.mode("append").parquet(cache)
     counts = seen.join(stored(), "digest")
