@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,6 @@ from pairloom.llm.words import PlainWordHashes, blocks, hash_array, window_hashe
 MIN_TILE = 5
 #: Share of a benchmark item's words that tiles must cover.
 COVERAGE = 0.6
-_MODULUS = (1 << 61) - 1
 _BASE = 1_000_003
 
 
@@ -27,56 +27,81 @@ def plain_words(text: str) -> np.ndarray:
     return h[h != 0]
 
 
-def tile(a: list[int], b: list[int], shortest: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """(place in a, place in b, length) of greedy string tiling of two sequences of words.
+def _prefix_hashes(s: np.ndarray) -> np.ndarray:
+    """Karp-Rabin hashes of all prefixes, modulo 2**64; those of windows follow from two of them."""
+    out = np.zeros(len(s) + 1, np.uint64)
+    h, mask = 0, (1 << 64) - 1
+    for k, x in enumerate(s.tolist()):
+        h = (h * _BASE + x + 1) & mask
+        out[k + 1] = h
+    return out
 
-    Rounds look for common runs of at least `length` unmarked words, found by Karp-Rabin: hashes of a
-    window that runs over a are kept, and the window that runs over b is looked up. A round that meets
-    a run of more than twice the length starts again from there; else its runs are marked from the
-    longest on where still free, and the length is lowered, down to the shortest tile.
-    """
-    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
 
-    def windows(s: list[int], free: list[bool], n: int) -> Iterator[tuple[int, int]]:
-        top, h, run = pow(_BASE, n - 1, _MODULUS), 0, 0
-        for k, x in enumerate(s):
-            if not free[k]:
-                h = run = 0
+class _Sequence:
+    """Words of one side, the windows of unmarked words, and their hashes."""
+
+    def __init__(self, words: np.ndarray, apart: np.ndarray):
+        """apart: words that no tile may hold."""
+        self.words, self.hashes, self.marked = words, _prefix_hashes(words), apart.copy()
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of n unmarked words, in order."""
+        if n > len(self.words):
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        blocked = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.flatnonzero(blocked[n:] == blocked[:-n])
+        return at, self.hashes[at + n] - self.hashes[at] * np.uint64(pow(_BASE, n, 1 << 64))
+
+    def longest_run(self) -> int:
+        gaps = np.flatnonzero(np.concatenate([[True], self.marked, [True]]))
+        return int(np.diff(gaps).max()) - 1
+
+
+def tile(a: np.ndarray, b: np.ndarray, shortest: int = MIN_TILE, apart: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of greedy string tiling of two arrays of words; apart marks words of b that no tile may hold.
+
+    The longest length at which the two still share a window of unmarked words is found by halving, as
+    a shared window holds shared windows of every lesser length. All windows of that length are hashed
+    by running Karp-Rabin, and those of b, from left to right, are marked with the first window of a of
+    the same hash that is still free and has the same words. After that no two free windows of the length match, so the
+    next one is less: there are at most as many rounds as lengths of tiles that fit side by side, and a
+    round looks at each word a few times, however often words are repeated.
+    """
+    left = _Sequence(np.asarray(a, np.uint64), np.zeros(len(a), bool))
+    right = _Sequence(np.asarray(b, np.uint64), np.zeros(len(b), bool) if apart is None else apart)
+    tiles: list[tuple[int, int, int]] = []
+    longest = min(left.longest_run(), right.longest_run()) if len(a) and len(b) else 0
+
+    def shared(n: int) -> bool:
+        return bool(np.isin(left.windows(n)[1], right.windows(n)[1]).any())
+
+    while longest >= shortest and shared(shortest):
+        low, high = shortest, longest
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if shared(n) else (low, n - 1)
+        places: dict[int, deque[int]] = {}
+        at, hashes = left.windows(low)
+        both = np.isin(hashes, right.windows(low)[1])
+        for i, h in zip(at[both].tolist(), hashes[both].tolist(), strict=True):
+            places.setdefault(h, deque()).append(i)
+        at, hashes = right.windows(low)
+        both = np.isin(hashes, np.fromiter(places, np.uint64, len(places)))
+        end = 0
+        for j, h in zip(at[both].tolist(), hashes[both].tolist(), strict=True):
+            if j < end:
                 continue
-            if run >= n:
-                h = (h - s[k - n] * top) % _MODULUS
-            h = (h * _BASE + x) % _MODULUS
-            run += 1
-            if run >= n:
-                yield k - n + 1, h
-
-    length = max(shortest, min(len(a), len(b), 20))
-    while True:
-        places: dict[int, list[int]] = {}
-        for i, h in windows(a, free_a, length):
-            places.setdefault(h, []).append(i)
-        found, longest = [], 0
-        for j, h in windows(b, free_b, length):
-            for i in places.get(h, ()):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                    n += 1
-                if n >= length:
-                    found.append((-n, i, j))
-                    longest = max(longest, n)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for n, i, j in sorted(found):
-            if all(free_a[i : i - n]) and all(free_b[j : j - n]):
-                tiles.append((i, j, -n))
-                free_a[i : i - n] = free_b[j : j - n] = [False] * -n
-        if length == shortest:
-            # What a longer tile has cut off of a run may still be a tile.
-            if not any(True for _ in found):
-                return sorted(tiles)
-            continue
-        length = max(shortest, length // 2) if length > 2 * shortest else shortest
+            free = places[h]
+            # A window that lost a word to a tile is gone for good. All marks of this round are of one length, so its ends tell.
+            while free and (left.marked[free[0]] or left.marked[free[0] + low - 1]):
+                free.popleft()
+            if free and (left.words[free[0] : free[0] + low] == right.words[j : j + low]).all():
+                i = free.popleft()
+                tiles.append((i, j, low))
+                left.marked[i : i + low] = right.marked[j : j + low] = True
+                end = j + low
+        longest = low - 1
+    return sorted(tiles)
 
 
 def _items(shortest: int):
@@ -148,10 +173,11 @@ def _cover(shortest: int, coverage: float):
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "item", "n_tiles", "covered", "n_words")}
             for r in batch.to_pylist():
-                words, joined = [w % _MODULUS for w in r["words"]], []
-                for k, part in enumerate(r["runs"]):
-                    joined += [-1 - k, *(w % _MODULUS for w in part)]  # no tile runs across two parts
-                tiles = tile(words, joined, shortest)
+                words, joined, apart = np.array(r["words"], np.int64).view(np.uint64), [], []
+                for part in r["runs"]:  # no tile runs across two parts
+                    joined += [0, *part]
+                    apart += [True] + [False] * len(part)
+                tiles = tile(words, np.array(joined, np.int64).view(np.uint64), shortest, np.array(apart, bool))
                 covered = sum(n for _, _, n in tiles)
                 if covered >= coverage * len(words):
                     for k, v in zip(out, (r["doc_id"], r["item_id"], r["item"], len(tiles), covered, len(words)), strict=True):
