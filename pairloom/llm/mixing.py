@@ -17,14 +17,33 @@ CAP = 3.0
 RANGES = 1024
 
 
+#: Copies of one row that are spelled out at a time.
+COPIES = 10_000
+
+
 def _drawn(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds _src, which orders sources with null last, and _draw, a hash of id and text: reruns and retries agree."""
+    """Adds _src, which orders sources with null last, and _class, a hash of id and text: reruns and retries agree."""
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    return docs.withColumn("_src", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))).withColumn("_draw", draw)
+    return docs.withColumn("_src", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))).withColumn("_class", draw)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (_src, _class, _part, ...) with _draw, which tells rows that repeat apart: the class itself for the first, a hash of it and the number for others.
+
+    Rows of a class are numbered within the task that read them, from where the tasks before it end; so
+    a class of any size is spread over as many tasks as have read it.
+    """
+    alike = ["_src", "_class", "_part"]
+    parts = rows.groupBy(*alike).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_src", "_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    later = parts.withColumn("_before", before).where("_before > 0").drop("_n")
+    number = F.row_number().over(Window.partitionBy(*alike).orderBy("_size")) - 1 + F.coalesce("_before", F.lit(0))
+    numbered = rows.join(later, alike, "left").withColumn("_number", number)
+    return numbered.withColumn("_draw", F.when(F.col("_number") == 0, F.col("_class")).otherwise(F.md5(F.concat_ws(":", "_class", F.col("_number").cast("string"))))).drop("_part", "_before", "_number")
 
 
-def _weighed(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, _src, _size, _draw, _key, _range): the exponential key over the quality weight, and its range.
+def _weighed(docs: DataFrame, labels: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, _src, _class, _size, _draw, _key, _range): the exponential key over the quality weight, and its range; a written table.
 
     A document labelled good weighs 2, one labelled bad 0.5, one without a label 1.
     """
@@ -32,8 +51,11 @@ def _weighed(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     weight = F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
     u = (F.conv(F.substring("_draw", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
     drawn = _drawn(docs.select("doc_id", "text", "source"), seed).withColumn("_size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
-    keyed = drawn.select("doc_id", "_src", "_size", "_draw").join(q, "doc_id", "left").withColumn("_key", -F.log(u) / weight)
-    return keyed.drop("_quality").withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
+    rows = scratch.save(drawn.select("doc_id", "_src", "_class", "_size", F.spark_partition_id().alias("_part")), "rows")
+    keyed = _numbered(rows).join(q, "doc_id", "left").withColumn("_key", -F.log(u) / weight).drop("_quality")
+    keyed = scratch.save(keyed.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * RANGES), F.lit(RANGES - 1)).cast("int")), "keyed")
+    scratch.drop("rows")
+    return keyed
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, share: float = 1.0) -> DataFrame:
@@ -85,22 +107,36 @@ def mix_sources(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = W
 
     labels (doc_id, quality) weigh documents: keys are -ln(u) / weight, and small keys come first.
     Null text or text without words has size 0 and takes 0 words; null sources form one source, the
-    last; rows that repeat are documents of their own, with the same draw; an empty table gives no
+    last; rows that repeat are documents of their own, each with its own draw; an empty table gives no
     rows. Other columns of docs are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    keyed = scratch.save(_weighed(docs, labels, seed), "keyed")
+    keyed = _weighed(docs, labels, seed, scratch)
     return _taken(keyed, mix_plan(keyed, scratch, weights, cap, share)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, share: float = 1.0, seed: int = 8) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken. Only the plan, a row a source, meets the texts."""
+    """The mix itself: the rows of docs, each as often as it is taken. Only the plan, a row a source, meets the texts.
+
+    Of rows that repeat, some may be taken once more than the others; as they are alike in id, text and
+    source, the one that a hash of all columns chooses stands for these.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
-    columns = docs.columns
-    narrow = scratch.save(_weighed(docs, labels, seed), "keyed")
+    columns, alike = docs.columns, ["_class", "_src"]
+    narrow = _weighed(docs, labels, seed, scratch)
     plan = mix_plan(narrow, scratch, weights, cap, share)
-    times = scratch.save(_taken(narrow, plan).groupBy("_draw", "_src").agg(F.max("copies").alias("copies")), "times")
-    return _drawn(docs, seed).join(times, ["_draw", "_src"]).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    times = _taken(narrow, plan).groupBy(*alike).agg(F.count("*").alias("_n"), F.sum("copies").alias("_all"))
+    times = times.withColumn("_each", F.floor(F.col("_all") / F.col("_n")).cast("int")).withColumn("_more", F.col("_all") - F.col("_each") * F.col("_n"))
+    times = scratch.save(times.drop("_n", "_all"), "times")
+    drawn = _drawn(docs, seed)
+    out = drawn.join(times.where("_each > 0").drop("_more"), alike).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*columns)
+    some = times.where("_more > 0").select(*alike, "_more")
+    if some.isEmpty():
+        return out
+    one = drawn.join(some.drop("_more"), alike).groupBy(*alike).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    ends = some.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_more") - 1, F.lit(COPIES).cast("long")))).repartition(*alike, "_from")
+    each = ends.withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("_more")) - 1)))
+    return out.unionByName(each.join(one, alike).select("_row.*"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +148,14 @@ WITH labelled AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_i
 d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5('8:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))) AS draw
+    md5('8:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))) AS class
   FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY src, class) - 1 AS number FROM d),
+r AS (SELECT *, CASE WHEN number = 0 THEN class ELSE md5(class || ':' || number) END AS draw FROM o),
 k AS (
-  SELECT d.*, -ln((CAST('0x' || substr(draw, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+  SELECT r.*, -ln((CAST('0x' || substr(draw, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
     / CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
-  FROM d LEFT JOIN labelled USING (doc_id)),
+  FROM r LEFT JOIN labelled USING (doc_id)),
 s AS (SELECT src, sum(size)::DOUBLE AS source_size FROM k GROUP BY src),
 w AS (SELECT src, source_size, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY src) - 1) % 3) + 1]::DOUBLE AS w FROM s),
 f AS (SELECT *, source_size * 3 / w AS fill FROM w),
