@@ -10,7 +10,7 @@ from pairloom.llm.mixing import OP8_SQL, op8_mix_sources
 from pairloom.llm.packing import op1_pack_tokens
 from pairloom.llm.pii import op2_personal_data
 from pairloom.llm.pivots import OP5_SQL, op5_embedding_dedup
-from pairloom.llm.secrets import op6_secret_scan
+from pairloom.llm.secrets import OP6_SQL, op6_secret_scan
 from pairloom.llm.tokens import op10_count_tokens
 
 QUERIES = {
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op4_ngram_jaccard": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES = {"op4_ngram_jaccard": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_secret_scan": OP6_SQL, "op8_mix_sources": OP8_SQL}
