@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,10 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, shared by driver and executors; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, shared by driver and executors. Only a local session, where all is one machine, may go without."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pairloom-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
