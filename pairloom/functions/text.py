@@ -27,13 +27,20 @@ STOP_WORDS = tuple(
 
 
 def tokens(text: Column) -> Column:
-    """Split at each single space; empty tokens stay but at the end."""
-    return F.split(F.rtrim(text), " ", -1)
+    """Split at each single space; empty tokens stay but at the end. An empty text is one empty token, one of spaces alone none."""
+    bare = F.rtrim(text)
+    return F.when((bare == "") & (text != ""), F.array().cast("array<string>")).otherwise(F.split(bare, " ", -1))
 
 
 def java_hash(token: Column) -> Column:
-    """String.hashCode of a token of the basic plane, as a signed 32-bit number."""
-    unsigned = F.aggregate(F.split(token, ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % F.lit(1 << 32))
+    """String.hashCode of a token, as a signed 32-bit number; it counts UTF-16 units, of which code points from 0x10000 on have two."""
+
+    def step(h: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
+        return F.when(code < 0x10000, h * 31 + code).otherwise((h * 31 + high) * 31 + low) % F.lit(1 << 32)
+
+    unsigned = F.aggregate(F.split(token, ""), F.lit(0).cast("long"), step)
     return F.when(unsigned >= 1 << 31, unsigned - F.lit(1 << 32)).otherwise(unsigned)
 
 

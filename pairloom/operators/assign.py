@@ -6,6 +6,7 @@ Partition tables have at most layers * (layers + 1) / 2 rows, whatever the numbe
 from __future__ import annotations
 
 import heapq
+from statistics import pstdev
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +65,10 @@ def take_over(held: dict[Key, set[Key]], sizes: dict[Key, int]) -> dict[Key, set
 
 
 def refine(held: dict[Key, set[Key]], sizes: dict[Key, int], steps: int = 50_000) -> dict[Key, set[Key]]:
-    """Stage 2: the costliest partition hands a comparison over while the other one stays cheaper by it, small ones first."""
+    """Stage 2: the costliest partition hands a comparison over while the other one stays cheaper by it, small ones first.
+
+    A partition that can hand over nothing is done: it takes no more comparisons, either.
+    """
     held = {k: set(v) for k, v in held.items()}
     frozen: set[Key] = set()
     for _ in range(steps):
@@ -74,7 +78,7 @@ def refine(held: dict[Key, set[Key]], sizes: dict[Key, int], steps: int = 50_000
             break
         top = max(open_, key=lambda k: (costs[k], k))
         for o in sorted(held[top] - {top}, key=lambda o: (sizes[top] * sizes[o], o)):
-            if o in held and costs[o] + sizes[top] * sizes[o] < costs[top]:
+            if o in held and o not in frozen and costs[o] + sizes[top] * sizes[o] < costs[top]:
                 held[top].remove(o)
                 held[o].add(top)
                 break
@@ -88,6 +92,18 @@ def balance(held: dict[Key, set[Key]], sizes: dict[Key, int], stage1: bool = Tru
     return refine(held, sizes) if stage2 else held
 
 
+def deviation(values: list[int]) -> float:
+    """Standard deviation of all values, not of a sample."""
+    return pstdev(values) if values else 0.0
+
+
+def balance_deviations(held: dict[Key, set[Key]], sizes: dict[Key, int]) -> dict[str, float]:
+    """Standard deviations of the partitions' costs before balancing, after stage 1 and after stage 2."""
+    one = take_over(held, sizes)
+    steps = {"before": held, "stage1": one, "stage2": refine(one, sizes)}
+    return {name: deviation([cost(k, v, sizes) for k, v in state.items()]) for name, state in steps.items()}
+
+
 def longest_first(costs: dict[Key, int], slots: int) -> dict[Key, int]:
     """Partitions to slots: the costliest first, each to the slot with the least work so far."""
     heap, placed = [(0, s) for s in range(slots)], {}
@@ -98,11 +114,44 @@ def longest_first(costs: dict[Key, int], slots: int) -> dict[Key, int]:
     return placed
 
 
-def balanced_assignment(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(layer, tied, o_layer, o_tied) after both stages; the tables have a row a partition or pair of them."""
+def pair_weights(pairs: DataFrame, sizes: DataFrame, chunk: int = 100) -> DataFrame:
+    """(layer, tied, chunks, weight): size times the sizes of the partitions that one is compared with, once for each index of `chunk` vectors."""
+    other = sizes.select(F.col("layer").alias("o_layer"), F.col("tied").alias("o_tied"), F.col("size").alias("o_size"))
+    met = pairs.join(F.broadcast(sizes), ["layer", "tied"]).join(F.broadcast(other), ["o_layer", "o_tied"])
+    chunks = F.ceil(F.col("size") / chunk).cast("long")
+    return met.groupBy("layer", "tied", "size").agg(F.sum(F.col("size") * F.col("o_size")).alias("once")).select("layer", "tied", chunks.alias("chunks"), (chunks * F.col("once")).cast("long").alias("weight"))
+
+
+def slot_deviations(weights: dict[Key, int], costs: dict[Key, int], slots: int) -> dict[str, float]:
+    """Standard deviations of the slots' weights: partitions dealt by number, and the costliest first."""
+    dealt, placed = [0] * slots, [0] * slots
+    where = longest_first(costs, slots)
+    for (layer, tied), w in weights.items():
+        dealt[(layer * (layer + 1) // 2 + tied) % slots] += w
+        placed[where[layer, tied]] += w
+    return {"unbalanced": deviation([w for w in dealt if w]), "balanced": deviation([w for w in placed if w])}
+
+
+def _tables(pairs: DataFrame, sizes: DataFrame) -> tuple[dict[Key, set[Key]], dict[Key, int]]:
     size = {(r["layer"], r["tied"]): r["size"] for r in sizes.collect()}
     held: dict[Key, set[Key]] = {k: set() for k in size}
     for r in pairs.collect():
         held[r["layer"], r["tied"]].add((r["o_layer"], r["o_tied"]))
+    return held, size
+
+
+def balanced_assignment(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(layer, tied, o_layer, o_tied) after both stages; the tables have a row a partition or pair of them."""
+    held, size = _tables(pairs, sizes)
     rows = [(*k, *o) for k, v in balance(held, size).items() for o in sorted(v)]
     return pairs.sparkSession.createDataFrame(rows, "layer int, tied int, o_layer int, o_tied int")
+
+
+def balance_report(pairs: DataFrame, sizes: DataFrame, slots: int, chunk: int = 100) -> DataFrame:
+    """One row: deviations of costs before balancing and after its stages, and of the weights of slots without and with it."""
+    held, size = _tables(pairs, sizes)
+    balanced = balance(held, size)
+    costs = {k: cost(k, v, size) for k, v in balanced.items()}
+    weights = {k: -(-size[k] // chunk) * sum(size[k] * size[o] for o in v) for k, v in balanced.items()}
+    row = balance_deviations(held, size) | slot_deviations(weights, costs, slots)
+    return pairs.sparkSession.createDataFrame([tuple(map(float, row.values()))], ", ".join(f"{k} double" for k in row))

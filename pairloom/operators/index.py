@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.place import numbered_within
+
+def _list():
+    return F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("postings")
+
 
 def inverted_index(postings: DataFrame) -> DataFrame:
     """(feature, postings array<struct<id, weight>>), sorted by id."""
-    return postings.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("postings"))
+    return postings.groupBy("feature").agg(_list())
+
+
+def blocked_index(postings: DataFrame, size: int = 100_000) -> DataFrame:
+    """(feature, block, postings): the same with lists of about `size` at most, for features that very many vectors have."""
+    long = postings.groupBy("feature").agg(F.count("*").alias("_n")).where(F.col("_n") > size)
+    blocks = F.coalesce(F.ceil(F.col("_n") / size), F.lit(1)).cast("long")
+    dealt = postings.join(long, "feature", "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    return dealt.groupBy("feature", "block").agg(_list())
 
 
 def index_chunks(postings: DataFrame, parts: DataFrame, size: int = 100) -> DataFrame:
     """(layer, tied, chunk, feature, postings): an index for each `size` vectors of a partition, in order of id."""
-    chunk = F.floor((F.row_number().over(Window.partitionBy("layer", "tied").orderBy("id")) - 1) / size).cast("int")
-    placed = postings.join(parts.select("id", "layer", "tied").withColumn("chunk", chunk), "id")
-    return placed.groupBy("layer", "tied", "chunk", "feature").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("postings"))
+    slots = slot_map(parts).select("id", "layer", "tied", F.floor(F.col("slot") / size).cast("int").alias("chunk"))
+    return postings.join(slots, "id").groupBy("layer", "tied", "chunk", "feature").agg(_list())
 
 
 def merge_indexes(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -25,4 +37,5 @@ def merge_indexes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def slot_map(parts: DataFrame) -> DataFrame:
     """(layer, tied, id, slot): dense numbers of a partition's vectors from 0, in order of id."""
-    return parts.select("layer", "tied", "id", (F.dense_rank().over(Window.partitionBy("layer", "tied").orderBy("id")) - 1).cast("int").alias("slot"))
+    placed = numbered_within(parts.select("layer", "tied", "id").distinct(), ["layer", "tied"], "id", "slot")
+    return placed.select("layer", "tied", "id", F.col("slot").cast("int").alias("slot"))

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vector import norms
+from pairloom.operators.place import numbered, numbered_within
 
 
 def ranked(stats: DataFrame) -> DataFrame:
-    """stats with rk, the 0-based place in order of (l1, id). The sort is a range shuffle; places follow from partition sizes."""
-    ordered = stats.withColumn("_l1", F.round("l1", 9)).orderBy("_l1", "id").drop("_l1")
-    rows = ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    from pyspark.sql import types as T
-
-    return stats.sparkSession.createDataFrame(rows, T.StructType([*stats.schema.fields, T.StructField("rk", T.LongType())]))
+    """stats with rk, the 0-based place in order of (l1, id)."""
+    return numbered(stats.withColumn("_l1", F.round("l1", 9)), "_l1", "id").drop("_l1")
 
 
 def layer_cuts(n: int, layers: int) -> list[float]:
@@ -89,6 +86,6 @@ def triangular_unhash(h: Column) -> tuple[Column, Column]:
 
 def compartments(rows: DataFrame, size: int) -> DataFrame:
     """(layer, tied, chunk, ids): a partition's vectors in lists of at most `size`, in order of id."""
-    place = F.row_number().over(Window.partitionBy("layer", "tied").orderBy("id")) - 1
-    chunked = rows.withColumn("chunk", F.floor(place / size).cast("int"))
+    placed = numbered_within(rows.select("layer", "tied", "id"), ["layer", "tied"], "id", "place")
+    chunked = placed.withColumn("chunk", F.floor(F.col("place") / size).cast("int"))
     return chunked.groupBy("layer", "tied", "chunk").agg(F.sort_array(F.collect_list("id")).alias("ids"))

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vector import l2_normalize
-from pairloom.operators.join import _sides
 
 
 def choose_anchors(postings: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(pos, id) of k vectors, drawn by a seeded hash of the id."""
-    drawn = postings.select("id").distinct().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k)
+    drawn = postings.select("id").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(k)
     packed = drawn.agg(F.collect_list("id").alias("ids"))
     return packed.select(F.posexplode("ids").alias("pos", "id"))
 
@@ -32,9 +31,9 @@ def signatures(postings: DataFrame, anchors: DataFrame, level: float = 0.5) -> D
 
 def bucket_pairs(postings: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, i, j, sim) of vectors with equal keys that share a feature, i > j."""
-    i, j = _sides(l2_normalize(postings).join(keys, "id"), "key")
-    dots = i.join(j, ["feature"]).where("i > j and key_i = key_j").groupBy(F.col("key_i").alias("key"), "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
-    return dots
+    placed = l2_normalize(postings).join(keys, "id")
+    i, j = placed.toDF("i", "feature", "wi", "key"), placed.toDF("j", "feature", "wj", "key")
+    return i.join(j, ["key", "feature"]).where("i > j").groupBy("key", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
 
 
 def bucket_best(postings: DataFrame, keys: DataFrame) -> DataFrame:
@@ -49,12 +48,14 @@ def best_pair(postings: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def best_of_attempts(postings: DataFrame, k: int, attempts: int = 21) -> DataFrame:
-    """best_pair over fresh anchors for each seed from 0."""
-    def once(seed: int) -> DataFrame:
-        anchors = choose_anchors(postings, k, seed).join(postings, "id").select("pos", "feature", "weight")
-        return best_pair(postings, anchors).withColumn("seed", F.lit(seed))
-
-    found = reduce(DataFrame.unionByName, (once(s) for s in range(attempts)))
+    """best_pair over fresh anchors for each seed from 0; all attempts are buckets of one join."""
+    drawn = reduce(DataFrame.unionByName, (choose_anchors(postings, k, s).withColumn("pos", F.col("pos") + s * k) for s in range(attempts)))
+    all_keys = signatures(postings, F.broadcast(drawn).join(postings, "id").select("pos", "feature", "weight"))
+    # Fewer vectors than anchors leave keys that are shorter than k, in the order of seeds.
+    width = F.greatest(F.length("key") / F.lit(attempts), F.lit(1)).cast("int")
+    seeds = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("seed")
+    keys = all_keys.select("id", "key", seeds).select("id", F.concat_ws(":", F.col("seed").cast("string"), F.substring("key", F.col("seed") * width + 1, width)).alias("key"))
+    found = bucket_best(postings, keys).select(F.substring_index("key", ":", -1).alias("key"), "i", "j", "sim", F.substring_index("key", ":", 1).cast("int").alias("seed"))
     return found.orderBy(F.desc(F.round("sim", 9)), "i", "j", "seed").limit(1)
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairloom.functions.vector import l2_normalize
 from pairloom.operators.assign import assignment
-from pairloom.operators.join import plain_pairs
+from pairloom.operators.join import similar_pairs
 from pairloom.operators.layers import layer_sizes, layered, partition_sizes, static_tie
 
 
@@ -34,11 +34,16 @@ def skipped_and_calculated(sizes: DataFrame) -> DataFrame:
     return met.agg(F.coalesce(F.sum(F.when(skip, F.col("size") * F.col("layer_size"))), F.lit(0)).cast("long").alias("skipped"), F.coalesce(F.sum(F.when(do, F.col("size") * F.col("layer_size"))), F.lit(0)).cast("long").alias("calculated"))
 
 
-def sweep(postings: DataFrame, thresholds: Sequence[float], layers: int = 21) -> DataFrame:
-    """A row a threshold: pairs returned, pairs scored and below it, and reductions. Pairs are scored once."""
+def sweep(postings: DataFrame, thresholds: Sequence[float], layers: int = 21, uniform: bool = False, scored: DataFrame | None = None) -> DataFrame:
+    """A row a threshold: pairs returned, pairs scored and below it, and reductions.
+
+    Pairs are scored once, for the lowest threshold; `scored` (sim) may bring them, above that. All pairs that
+    static pruning leaves count as scored. actual_reduction is what the scored ones leave of half the
+    square of the vectors, d_par_reduction what dynamic pruning leaves out, d_par what it has looked at.
+    """
     unit = l2_normalize(postings)
-    stats = layered(unit, layers)
-    scored = plain_pairs(unit, min(thresholds))
+    stats = layered(unit, layers, uniform)
+    scored = similar_pairs(unit, min(thresholds), assume_normalized=True) if scored is None else scored
     levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     counts = scored.select("sim", levels).groupBy("threshold").agg(F.sum(F.when(F.col("sim") > F.col("threshold"), 1).otherwise(0)).alias("returned"))
     out = None
@@ -46,7 +51,14 @@ def sweep(postings: DataFrame, thresholds: Sequence[float], layers: int = 21) ->
         row = pair_budget(partition_sizes(static_tie(stats, t)), layers).withColumn("threshold", F.lit(float(t)))
         out = row if out is None else out.unionByName(row)
     joined = out.join(counts, "threshold", "left").withColumn("returned", F.coalesce("returned", F.lit(0)).cast("long"))
-    return joined.select("threshold", "num_vectors", "num_comparisons", F.col("unbalanced").alias("scored"), "returned", (F.col("unbalanced") - F.col("returned")).alias("below"), "static_reduction")
+    below = F.col("unbalanced") - F.col("returned")
+    return joined.select("threshold", "num_vectors", "num_comparisons", F.col("unbalanced").alias("scored"), "returned", below.alias("below"), "static_reduction", (F.col("legacy_total") - F.col("unbalanced")).alias("actual_reduction"), below.alias("d_par_reduction"), F.col("unbalanced").alias("d_par"))
+
+
+def observed(pairs: DataFrame, name: str = "pairs") -> tuple[DataFrame, Observation]:
+    """pairs (i, j, sim), and counters that an action on them fills: how many, and the least and largest cosine."""
+    seen = Observation(name)
+    return pairs.observe(seen, F.count(F.lit(1)).alias("returned"), F.min("sim").alias("least"), F.max("sim").alias("largest")), seen
 
 
 def layer_sums(sizes: DataFrame, stats: DataFrame) -> DataFrame:

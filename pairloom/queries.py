@@ -52,11 +52,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-TF = """tok AS (SELECT doc_id AS id, unnest(string_split(rtrim(text, ' '), ' ')) AS token FROM documents WHERE text IS NOT NULL),
+TF = """tok AS (SELECT doc_id AS id, unnest(CASE WHEN text <> '' AND rtrim(text, ' ') = '' THEN [] ELSE string_split(rtrim(text, ' '), ' ') END) AS token FROM documents WHERE text IS NOT NULL),
 tf AS (SELECT id, token AS feature, count(*)::DOUBLE AS weight FROM tok GROUP BY ALL)"""
 UNIT = TF + """,
 unit AS (SELECT id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS weight FROM tf)"""
-SLOT = """(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(token, ''), lambda x: ord(x)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296))"""
+UNITS = "flatten(list_transform(string_split(token, ''), lambda x: CASE WHEN ord(x) >= 65536 THEN [55296 + ((ord(x) - 65536) >> 10), 56320 + ((ord(x) - 65536) & 1023)] ELSE [ord(x)] END))"
+SLOT = f"(list_reduce(list_prepend(0::BIGINT, list_transform({UNITS}, lambda x: x::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296))"
 HASHED = f"""{TF},
 h AS (SELECT feature, {SLOT.replace('token', 'feature')} AS h FROM (SELECT DISTINCT feature FROM tf)),
 hs AS (SELECT feature, (((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 10000 + 10000) % 10000)::INTEGER AS slot FROM h),
@@ -215,6 +216,36 @@ def candidate_partition_pairs(spark, sf):
     return assign.assignment(layers.partition_sizes(_tied(spark, sf)), LAYERS)
 
 
+EVEN = 8
+_EVEN_AHEAD = f"((o.layer - p.layer) % {EVEN} + {EVEN}) % {EVEN}"
+
+
+def _tied_even(spark: SparkSession, sf: str) -> DataFrame:
+    return layers.static_tie(layers.layered(V.l2_normalize(_embedded(spark, sf)), EVEN), 0.9)
+
+
+@query(
+    f"""WITH {EMBED}, {TIED.format(t=0.9).replace(f"range(1, {LAYERS})", f"range(1, {EVEN})").replace(f"({LAYERS} * ({LAYERS} + 1) / 2)", f"({EVEN} * ({EVEN} + 1) / 2)").replace(f"k * {LAYERS} ", f"k * {EVEN} ")}
+SELECT p.layer, p.tied, o.layer AS o_layer, o.tied AS o_tied FROM parts p, parts o
+WHERE ({_EVEN_AHEAD} < {EVEN // 2} OR ({_EVEN_AHEAD} = {EVEN // 2} AND p.layer < {EVEN // 2}))
+  AND CASE WHEN p.layer = o.layer THEN p.tied >= o.tied WHEN p.layer > o.layer THEN p.tied = p.layer OR p.tied < o.layer ELSE o.tied = o.layer OR o.tied < p.layer END"""
+)
+def candidate_partition_pairs_even(spark, sf):
+    return assign.assignment(layers.partition_sizes(_tied_even(spark, sf)), EVEN)
+
+
+@query(f"WITH {EMBED}, {TIED.format(t=0.9)} SELECT layer, sum(size)::BIGINT AS parts, (SELECT count(*) FROM layered l WHERE l.layer = p.layer) AS size FROM parts p GROUP BY layer")
+def layer_sums(spark, sf):
+    tied = _tied(spark, sf)
+    return layers.partition_sizes(tied).groupBy("layer").agg(F.sum("size").alias("parts")).join(layers.layer_sizes(tied), "layer")
+
+
+@query(f"WITH {EMBED}, {TIED.format(t=0.9)}, {ASSIGNED} SELECT layer, tied, ceil(any_value(size) / 20)::BIGINT AS chunks, (ceil(any_value(size) / 20) * sum(size * o_size))::BIGINT AS weight FROM pairs GROUP BY layer, tied")
+def pair_weights(spark, sf):
+    sizes = layers.partition_sizes(_tied(spark, sf))
+    return assign.pair_weights(assign.assignment(sizes, LAYERS), sizes, 20)
+
+
 COSTS = "costs AS (SELECT layer, tied, (any_value(size) * any_value(size) + sum(size * o_size))::BIGINT AS cost FROM pairs GROUP BY layer, tied)"
 
 
@@ -236,6 +267,22 @@ def balanced_assignment(spark, sf):
 
 
 @query(None)
+def balance_report(spark, sf):
+    sizes = layers.partition_sizes(_tied(spark, sf))
+    return _rounded(assign.balance_report(assign.assignment(sizes, LAYERS), sizes, 4, 20), "before", "stage1", "stage2", "unbalanced", "balanced")
+
+
+@query(
+    f"""WITH RECURSIVE {EMBED}, {TIED.format(t=0.9)}, {ASSIGNED}, {COSTS},
+ordered AS (SELECT *, row_number() OVER (ORDER BY cost DESC, layer, tied) AS step FROM costs),
+placed AS (
+  SELECT 0::BIGINT AS step, -1 AS layer, -1 AS tied, 0 AS slot, [0::BIGINT, 0, 0, 0] AS loads
+  UNION ALL
+  SELECT o.step, o.layer, o.tied, (list_position(p.loads, list_min(p.loads)) - 1)::INTEGER,
+    list_transform(p.loads, lambda x, i: CASE WHEN i = list_position(p.loads, list_min(p.loads)) THEN x + o.cost ELSE x END)
+  FROM placed p JOIN ordered o ON o.step = p.step + 1)
+SELECT layer, tied, slot FROM placed WHERE step > 0"""
+)
 def lpt_slots(spark, sf):
     costs = {(r["layer"], r["tied"]): r["cost"] for r in partition_cost(spark, sf).collect()}
     return spark.createDataFrame([(*k, s) for k, s in assign.longest_first(costs, 4).items()], "layer int, tied int, slot int")
@@ -251,12 +298,27 @@ def partition_hash_roundtrip(spark, sf):
 
 @query(f"WITH {UNIT} {APSS.format(t=0.9)}")
 def apss_documents(spark, sf):
-    return _rounded(join.similar_pairs(_counts(spark, sf), 0.9, "plain"), "sim")
+    return _rounded(join.similar_pairs(_counts(spark, sf), 0.9), "sim")
 
 
-@query(f"WITH {UNIT} {APSS.format(t=0.95)}")
+@query(f"WITH {UNIT} {APSS.format(t=0.7)}")
 def apss_prefix(spark, sf):
-    return _rounded(join.similar_pairs(_counts(spark, sf), 0.95, "prefix"), "sim")
+    return _rounded(join.similar_pairs(_counts(spark, sf), 0.7, "prefix"), "sim")
+
+
+@query(f"WITH {UNIT} {APSS.format(t=0.9)}")
+def apss_plain(spark, sf):
+    return _rounded(join.similar_pairs(_counts(spark, sf), 0.9, "plain"), "sim")
+
+
+@query(f"WITH {EMBED} {APSS.format(t=0.3)}")
+def apss_ml_vectors(spark, sf):
+    """Pairs of a DataFrame with a column of ML vectors."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
+    found = join.cosine_pairs(rows, LAYERS, 0.3).select("similarity.*").toDF("i", "j", "sim")
+    return _rounded(found, "sim")
 
 
 @query(f"WITH {HASHED}, unit AS (SELECT id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS weight FROM htf) {APSS.format(t=0.9)}")
@@ -308,6 +370,23 @@ def inverted_index(spark, sf):
     return lists.select("feature", F.size("postings").cast("long").alias("n"), F.element_at("postings", 1)["id"].alias("first_id"), F.round(total, 6).alias("total"))
 
 
+@query(f"WITH {UNIT} SELECT feature, count(*) AS n, min(id) AS first_id, round(sum(weight), 6) AS total FROM unit GROUP BY feature")
+def blocked_index(spark, sf):
+    """Lists of very frequent features in blocks; what they add up to."""
+    blocks = index.blocked_index(_unit(spark, sf), 200)
+    total = F.aggregate("postings", F.lit(0.0), lambda s, x: s + x["weight"])
+    sums = blocks.select("feature", F.size("postings").alias("n"), F.element_at("postings", 1)["id"].alias("first_id"), total.alias("total"))
+    return _rounded(sums.groupBy("feature").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.sum("total").alias("total")), "total")
+
+
+@query(f"WITH {UNIT} SELECT feature, string_agg(id::VARCHAR, ' ' ORDER BY id) AS ids FROM unit GROUP BY feature")
+def merged_index(spark, sf):
+    """The index of two halves of the documents, merged."""
+    unit = _unit(spark, sf)
+    merged = index.merge_indexes(*(index.inverted_index(unit.where(F.col("id") % 2 == k)) for k in (0, 1)))
+    return merged.select("feature", F.array_join(F.transform("postings", lambda p: p["id"].cast("string")), " ").alias("ids"))
+
+
 @query(
     f"""WITH {EMBED}, {TIED.format(t=0.9)}, c AS (SELECT id, layer, tied, ((row_number() OVER (PARTITION BY layer, tied ORDER BY id) - 1) // 20)::INTEGER AS chunk FROM tied)
 SELECT layer, tied, chunk, feature::INTEGER AS feature, count(*) AS n FROM unit JOIN c USING (id) GROUP BY ALL"""
@@ -357,7 +436,17 @@ def lsh_best_pair(spark, sf):
     return _rounded(best.orderBy(F.desc(F.round("sim", 9)), "i", "j").limit(1), "sim")
 
 
-@query(None)
+@query(
+    f"""WITH {EMBED}, seeds AS (SELECT s::INTEGER AS seed FROM range(21) AS r(s)),
+anchors AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY md5(seed::VARCHAR || ':' || id::VARCHAR), id) AS pos FROM seeds, (SELECT DISTINCT id FROM unit) QUALIFY pos <= 4),
+v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+keys AS (
+  SELECT seed, v.id, string_agg(CASE WHEN round(list_cosine_similarity(v.e, a.e), 12) >= 0.5 THEN '1' ELSE '0' END, '' ORDER BY pos) AS key
+  FROM anchors JOIN v a ON a.id = anchors.id, v GROUP BY seed, v.id),
+scored AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.id > b.id)
+SELECT k.key, i, j, round(sim, 6) AS sim, k.seed FROM scored JOIN keys k ON k.id = i JOIN keys l ON l.id = j AND l.seed = k.seed AND l.key = k.key
+ORDER BY round(scored.sim, 9) DESC, i, j, k.seed LIMIT 1"""
+)
 def lsh_best_of_attempts(spark, sf):
     return _rounded(lsh.best_of_attempts(_embedded(spark, sf), 4), "sim")
 
@@ -410,17 +499,20 @@ def skipped_and_calculated(spark, sf):
 
 
 def _sweep_sql(t: float) -> str:
-    return f"""SELECT {t}::DOUBLE AS threshold, num_vectors, num_comparisons, unbalanced AS scored, returned, unbalanced - returned AS below, static_reduction
+    return f"""SELECT {t}::DOUBLE AS threshold, num_vectors, num_comparisons, unbalanced AS scored, returned, unbalanced - returned AS below, static_reduction,
+  legacy_total - unbalanced AS actual_reduction, unbalanced - returned AS d_par_reduction, unbalanced AS d_par
 FROM (WITH {EMBED}, {TIED.format(t=t)}, {ASSIGNED} {BUDGET}), (WITH {EMBED} SELECT count(*) AS returned FROM ({APSS.format(t=t)}))"""
 
 
 @query(" UNION ALL ".join(_sweep_sql(t) for t in (0.2, 0.3)))
 def sweep_report(spark, sf):
-    return stats.sweep(_embedded(spark, sf), (0.2, 0.3), LAYERS)
+    # Every vector has every feature here, so pairs are scored as arrays, not by postings.
+    scored = join.dense_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.2)
+    return stats.sweep(_embedded(spark, sf), (0.2, 0.3), LAYERS, scored=scored)
 
 
 @query(
-    f"""WITH {UNIT}, bt AS (SELECT item_id AS id, unnest(string_split(rtrim(text, ' '), ' ')) AS feature FROM benchmark WHERE text IS NOT NULL),
+    f"""WITH {UNIT}, bt AS (SELECT item_id AS id, unnest(CASE WHEN text <> '' AND rtrim(text, ' ') = '' THEN [] ELSE string_split(rtrim(text, ' '), ' ') END) AS feature FROM benchmark WHERE text IS NOT NULL),
 bw AS (SELECT id, feature, count(*) AS weight FROM bt GROUP BY ALL), b AS (SELECT id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS weight FROM bw)
 SELECT unit.id AS i, b.id AS j, round(sum(unit.weight * b.weight), 6) AS sim FROM unit JOIN b USING (feature) GROUP BY ALL HAVING sum(unit.weight * b.weight) > 0.5"""
 )
