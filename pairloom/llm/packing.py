@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,16 +72,39 @@ def best_fit_decreasing(lengths: Iterable[int], capacity: int) -> list[list[int]
 
 
 def _encode(tokenizer: str, seq_len: int, shards: int):
+    """(shard, doc_id, start, ids) of the pieces of a task's texts.
+
+    A piece goes to a shard by a hash of what it is, of the task, and of how many like it the task has
+    met: rows that repeat, or that all lack an id, spread as others do, and a task that runs again
+    deals its pieces alike, in whatever order it reads them.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = loaded(TokenIds, tokenizer)
-        step = seq_len * ids.dtype.itemsize
+        step, task, met = seq_len * ids.dtype.itemsize, TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for doc, packed in zip(batch.column("doc_id").to_pylist(), ids.encode_many(batch.column("text").to_pylist()), strict=True):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                packed = ids.ids(text.as_py()).tobytes()
                 for at in range(0, len(packed), step):
-                    for held, x in zip(out, (doc, at // ids.dtype.itemsize, packed[at : at + step]), strict=True):
+                    piece = packed[at : at + step]
+                    like = xxhash.xxh3_64_intdigest(f"{doc}:{at}:".encode() + piece)
+                    met[like] += 1
+                    shard = xxhash.xxh3_64_intdigest(f"{like}:{task}:{met[like]}") % shards
+                    for held, x in zip(out, (shard, doc, at // ids.dtype.itemsize, piece), strict=True):
                         held.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "start", "ids"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds, strict=True)], names=["shard", "doc_id", "start", "ids"])
+
+    return run
+
+
+def _shards(pack):
+    """Pack the shard that a partition is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            yield from pack(pa.Table.from_batches(held)).to_batches(max_chunksize=1024)
 
     return run
 
@@ -113,17 +139,17 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", se
     positions need them); input_ids is padded with the first free id, and positions start again at
     every segment. Segment k of a row is tokens cu_seqlens[k] to cu_seqlens[k + 1], and these are the
     tokens of doc_ids[k] from starts[k] on. Longer documents are cut every seq_len tokens, none is
-    lost. Texts are encoded where they are read; their ids are dealt by a hash of document and start
-    to shards of about shard_bytes of text, and each shard is packed for itself, so a task's memory
-    does not grow with the table or with a hot source. Null or empty texts have no tokens and no
+    lost. Texts are encoded where they are read; their ids are dealt to shards of about shard_bytes of
+    text, a partition each, and each shard is packed for itself, so a task's memory does not grow with
+    the table, with a hot source, or with rows that share an id or have none. Null or empty texts have no tokens and no
     segment; repeated rows are packed as often as they occur; an empty table gives no rows.
     """
     docs = string_column(docs.select("doc_id", "text"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // shard_bytes))
-    pieces = docs.mapInArrow(_encode(tokenizer, seq_len, shards), "doc_id long, start long, ids binary")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "start"), F.lit(shards)).cast("int"))
-    return dealt.repartition(max(shards, docs.sparkSession.sparkContext.defaultParallelism), "shard").groupBy("shard").applyInArrow(_pack(tokenizer, seq_len), PACKED)
+    dealt = docs.mapInArrow(_encode(tokenizer, seq_len, shards), "shard int, doc_id long, start long, ids binary")
+    # A shard a partition: a hash of the shard would put several into one.
+    return dealt.repartitionById(shards, "shard").mapInArrow(_shards(_pack(tokenizer, seq_len)), PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
