@@ -98,6 +98,24 @@ class UnionFind:
         return True
 
 
+def spanning(i: np.ndarray, j: np.ndarray, sets: UnionFind) -> list[tuple[int, int]]:
+    """Pairs of (i, j) that connect what all of them connect, and that `sets` does not connect yet; joins them there."""
+    kept: list[tuple[int, int]] = []
+    n = len(sets.up)
+    while True:
+        root = np.fromiter((sets.find(x) for x in range(n)), np.int64, n)
+        apart = np.flatnonzero(root[i] != root[j])
+        if not len(apart):
+            return kept
+        i, j = i[apart], j[apart]
+        one = np.full(n, -1)
+        one[root[i]] = np.arange(len(i))
+        one[root[j]] = np.arange(len(j))
+        for k in np.unique(one[one >= 0]).tolist():
+            if sets.union(int(i[k]), int(j[k])):
+                kept.append((int(i[k]), int(j[k])))
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shrink each block of edges to a spanning forest of stars; connectivity stays the same."""
     for batch in batches:
@@ -182,36 +200,55 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield held, long(np.array([0, held.num_rows]))
 
 
-#: log2 of the bits of a filter: at most 8 MB travel to the tasks, whatever the input.
-FILTER_BITS = 26
+#: Bits of a filter for each hash, log2 of the least and most bits (8 KB, 64 MB), and bytes that travel in a row.
+FILTER_SHARE, FILTER_BITS, FILTER_CHUNK = 16, (16, 29), 1 << 16
 
 
-def filter_slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - FILTER_BITS)
+def filter_slots(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash in a filter of `size` bytes."""
+    shift = np.uint64(64 - (8 * size).bit_length() + 1)
     return hashes >> shift, (hashes * np.uint64(0x9E3779B97F4A7C15)) >> shift
 
 
-def _filter_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    field = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+def _filter_bytes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(size, np.uint8)
+        for batch in batches:
+            for at in filter_slots(np.asarray(batch.column(0)).view(np.uint64), size):
+                np.bitwise_or.at(field, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for k in range(0, size, FILTER_CHUNK):
+            if field[k : k + FILTER_CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([field[k : k + FILTER_CHUNK].tobytes()], pa.binary())], names=["place", "bits"])
+
+    return run
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each chunk of a partition, with the bits of all."""
+    fields: dict[int, np.ndarray] = {}
     for batch in batches:
-        for at in filter_slots(np.asarray(batch.column(0)).view(np.uint64)):
-            np.bitwise_or.at(field, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-    at = np.flatnonzero(field)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(field[at].astype(np.int32))], names=["place", "bits"])
+        for k, raw in zip(batch.column("place").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            bits = np.frombuffer(raw, np.uint8)
+            fields[k] = fields[k] | bits if k in fields else bits
+    yield pa.RecordBatch.from_arrays([pa.array(list(fields), pa.int32()), pa.array([v.tobytes() for v in fields.values()], pa.binary())], names=["place", "bits"])
 
 
 def build_filter(hashes: DataFrame):
-    """A broadcast filter of the one column of 64-bit hashes: fixed size, no false negatives."""
+    """A broadcast filter of the one column of 64-bit hashes: no false negatives, and a size that follows from their number, up to a bound."""
     spark = hashes.sparkSession
-    field = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in hashes.mapInArrow(_filter_bytes, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).collect():
-        field[r["place"]] = r["bits"]
+    bits = min(max((FILTER_SHARE * hashes.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    field = np.zeros(1 << (bits - 3), np.uint8)
+    # As many tasks build a filter of their own as the whole is worth.
+    tasks = max(1, min(shuffle_partitions(spark), (1 << 31) // len(field)))
+    parts = hashes.coalesce(tasks).mapInArrow(_filter_bytes(len(field)), "place int, bits binary").repartition(tasks, "place")
+    for r in parts.mapInArrow(_either, "place int, bits binary").collect():
+        field[r["place"] : r["place"] + FILTER_CHUNK] = np.frombuffer(r["bits"], np.uint8)
     return spark.sparkContext.broadcast(field)
 
 
 def passes_filter(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     hit = np.ones(len(hashes), bool)
-    for at in filter_slots(hashes):
+    for at in filter_slots(hashes, len(field)):
         hit &= (field[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return hit
 
