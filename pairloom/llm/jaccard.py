@@ -8,12 +8,14 @@ Stages, each over all documents:
    order keeps lines and passages that many documents share out of the keys. Sets that link overlap by
    no more than what either has from their first common shingle on, so a late key only serves pairs
    for which that is enough.
-3. Classes that meet under a key are compared in two rounds. In the first, each is compared with its
-   neighbour of like size in the list and with the one of its size that has the fewest shingles of its
-   own. A few pairs for each member so connect a group of near copies, though not all of them link.
-   In the second, all pairs of a list that the first round left in different components are found in
-   an R-tree over the counts of shingles by group. Sum of coordinate minima bounds the overlap.
-4. What the bound leaves is verified on whole sets; components follow from the links.
+3. The classes of a key are points of an R-tree over the counts of shingles by group; the sum of
+   coordinate minima bounds the overlap of two. A first search pairs what lies together in the tree,
+   and each class with its size's hub, and keeps pairs that the bound leaves and that connect what all
+   of them connect: fewer than a list has classes, so that a group of near copies brings no square of
+   its size. It looks under some keys of each class. A second search finds all pairs, under any key, that the bound leaves and that the first
+   one's links have not joined.
+4. What either search leaves is verified on whole sets, which are read again from one text of each
+   class; components follow from the links.
 """
 
 from __future__ import annotations
@@ -23,27 +25,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Scratch, build_filter, components, passes_filter, runs_of, split_blocks, string_column, table, worker_state
-from pairloom.llm.words import WordHashes, blocks, mix, shingle_sets
+from pairloom.llm.common import Scratch, UnionFind, build_filter, components, passes_filter, runs_of, spanning, split_blocks, string_column, table, worker_state
+from pairloom.llm.words import WordHashes, blocks, shingle_sets
 
 SHINGLE = 5
 #: Similarity as a fraction: intersection * OF >= union * SIMILAR.
 SIMILAR, OF = 75, 100
 #: Coordinates of a point: shingles fall into so many groups by hash. The tree merges them by fours.
 GROUPS, MERGED = 256, 64
-#: Orders of a list by hash, dealt to keys: members of a group that share many keys meet other neighbours under each.
-ORDERS = 8
 #: log2 of the slots of the frequency sketch, 4 bytes each; CHUNK of them travel in a row.
 SKETCH_BITS = 20
 CHUNK = 1 << 14
-#: Keys that one task gathers, in expectation: 24 bytes each.
-TASK_KEYS = 1_500_000
+#: Keys that one task gathers, in expectation: 28 bytes each.
+TASK_KEYS = 1_000_000
+#: A key that more shingles than these fall into, by the sketch, is dealt out as several lists of about so many.
+LIST_KEYS = 1 << 16
 #: Classes of a key that a task compares at a time with as many others.
 BLOCK = 1024
 LEAF = 16
+#: Keys of a class under which the first search looks; the second one takes all.
+FIRST_KEYS = 8
 
 
 def _classes(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[list[tuple[np.ndarray, int | None]]]:
@@ -63,19 +67,28 @@ def point(s: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
 
 
-def points_of(raw: list[bytes]) -> np.ndarray:
-    if all(len(r) == GROUPS for r in raw):
-        return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), GROUPS)
-    return np.stack([np.frombuffer(r, np.uint8 if len(r) == GROUPS else np.int32).astype(np.int32) for r in raw])
+def points_of(raw: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    if all(len(r) == groups for r in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), groups)
+    return np.stack([np.frombuffer(r, np.uint8 if len(r) == groups else np.int32).astype(np.int32) for r in raw])
+
+
+def merged(points: np.ndarray) -> np.ndarray:
+    """Points of MERGED groups, which bound less but are a quarter as large."""
+    return points.reshape(len(points), MERGED, -1).sum(2, dtype=np.int32)
+
+
+def most_overlap(p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sums of the coordinate minima of pairs of points of p: their sets share no more."""
+    out = np.zeros(len(i), np.int64)
+    for a in range(0, len(i), 16_384):
+        out[a : a + 16_384] = np.minimum(p[i[a : a + 16_384]], p[j[a : a + 16_384]]).sum(1, dtype=np.int64)
+    return out
 
 
 def may_link(p: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of points of p, with sums n, have minima that add up to the overlap that linked sets need."""
-    keep = np.zeros(len(i), bool)
-    for a in range(0, len(i), 16_384):
-        x, y = i[a : a + 16_384], j[a : a + 16_384]
-        keep[a : a + 16_384] = np.minimum(p[x], p[y]).sum(1, dtype=np.int64) >= _needed(n[x], n[y])
-    return keep
+    return most_overlap(p, i, j) >= _needed(n[i], n[j])
 
 
 def _needed(n: np.ndarray | int, m: np.ndarray | int):
@@ -91,7 +104,7 @@ def _rest(at: np.ndarray) -> np.ndarray:
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, with its point where the task meets its class first; then the task's sketch in chunks."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc_id", "n_shingles", "cid", "point", "chunk", "counts"]
+    names = ["doc_id", "tid", "n_shingles", "cid", "point", "chunk", "counts"]
     seen: set[int] = set()
     for batch in batches:
         sizes, cids, points = [], [], []
@@ -107,11 +120,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if slots:
                 sketch += np.bincount(np.concatenate(slots), minlength=1 << SKETCH_BITS)
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(points, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(points, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     chunks = [k for k in range(0, len(sketch), CHUNK) if sketch[k : k + CHUNK].any()]
     packed = [np.minimum(sketch[k : k + CHUNK], 2**31 - 1).astype(np.int32).tobytes() for k in chunks]
     n = len(chunks)
-    yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array(packed, pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.binary()), pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array(packed, pa.binary())], names=names)
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,108 +132,92 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
 
 
 def _keys(shared):
-    """(key, cid, at): the rarest shingles of each class that a task meets, once a task."""
+    """(key, part, cid, at): the rarest shingles of each class that a task meets, once a task. Part is 0 for keys that are one list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = shared.value, set()
         for batch in batches:
             for held in _classes(batch):
-                keys, cids, sizes, at = [], [], [], []
+                keys, parts, cids, sizes, at = [], [], [], [], []
                 for s, cid in held:
                     if cid is None or cid in seen:
                         continue
                     seen.add(cid)
                     take = len(s) + (-len(s) * SIMILAR // OF) + 1
-                    order = np.argsort(sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                    often = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    order = np.argsort(often, kind="stable")
                     keys.append(s[order[:take]])
+                    lists = often[order[:take]].astype(np.int64) // LIST_KEYS + 1
+                    parts.append(np.where(lists > 1, cid % lists + 1, 0).astype(np.int32))
                     cids.append(cid)
                     sizes.append(take)
                     at.append((len(s) << 32) + len(s) - np.arange(take))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cids, np.int64), sizes)), pa.array(np.concatenate(at))], names=["key", "cid", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(cids, np.int64), sizes)), pa.array(np.concatenate(at))], names=["key", "part", "cid", "at"])
 
     return run
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, cid, at, before, hub): a partition's keys that two or more classes share, and whom of the list each class is compared with first.
+    """(key, part, cid, at): a partition's keys that two or more classes share, with their classes.
 
-    A class stays out of the list of a key so late in its order that no other class of the list could link with it by it.
+    A class stays out of the list of a key so late in its order that no other class of the list could
+    link with it by it. Of a key that is dealt out as several lists, each keeps all of its classes, as
+    the others may have those that they link with.
     """
-    got = [tuple(np.asarray(b.column(k)) for k in ("key", "cid", "at")) for b in batches if b.num_rows]
+    got = [tuple(np.asarray(b.column(k)) for k in ("key", "part", "cid", "at")) for b in batches if b.num_rows]
     if not got:
         return
-    key, cid, at = (np.concatenate(x) for x in zip(*got, strict=True))
+    key, part, cid, at = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
-    order = np.argsort(key, kind="stable")
-    key, cid, at = key[order], cid[order], at[order]
-    twin = np.zeros(len(key), bool)
-    same = key[1:] == key[:-1]
+    order = np.lexsort((part, key))
+    key, part, cid, at = key[order], part[order], cid[order], at[order]
+    same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+    twin = part > 0
     twin[1:] |= same
     twin[:-1] |= same
-    key, cid, at = key[twin], cid[twin], at[twin]
-    order = np.lexsort((cid, key))
-    key, cid, at = key[order], cid[order], at[order]
+    key, part, cid, at = key[twin], part[twin], cid[twin], at[twin]
+    order = np.lexsort((cid, part, key))
+    key, part, cid, at = key[order], part[order], cid[order], at[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])  # a class comes once from each task that met it
-    key, cid, at = key[new], cid[new], at[new]
+    key, part, cid, at = key[new], part[new], cid[new], at[new]
     if not len(key):
         return
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
     n = at >> 32
     least = np.repeat(np.minimum.reduceat(n, first), np.diff(np.append(first, len(key))))
-    useful = _rest(at) >= _needed(n, np.maximum(least, -(-n * SIMILAR // OF)))
-    key, cid, at = key[useful], cid[useful], at[useful]
-    n, rest = at >> 32, _rest(at)
-    order = np.lexsort((mix(cid.view(np.uint64) ^ mix(key.view(np.uint64) % np.uint64(ORDERS))), -rest, n, key))
-    key, cid, at, n, rest = key[order], cid[order], at[order], n[order], rest[order]
-    same = np.zeros(len(key), bool)
-    same[1:] = key[1:] == key[:-1]
-    partners = []
-    for other in _partners(same, n):
-        i = np.arange(len(key))
-        fits = (other < i) & (n[other] * OF >= n * SIMILAR) & (np.minimum(rest[other], rest) >= _needed(n[other], n))
-        partners.append((cid[other], fits))
-    keep = same.copy()
-    keep[:-1] |= same[1:]
+    useful = (part > 0) | (_rest(at) >= _needed(n, np.maximum(least, -(-n * SIMILAR // OF))))
+    key, part, cid, at = key[useful], part[useful], cid[useful], at[useful]
+    same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+    keep = part > 0
+    keep[1:] |= same
+    keep[:-1] |= same
+    key, part, cid, at = key[keep], part[keep], cid[keep], at[keep]
     for a in range(0, len(key), 500_000):
-        part = slice(a, a + 500_000)
-        k = keep[part]
-        yield pa.RecordBatch.from_arrays([pa.array(key[part][k]), pa.array(cid[part][k]), pa.array(at[part][k]), *(pa.array(c[part][k], mask=~fits[part][k]) for c, fits in partners)], names=["key", "cid", "at", "before", "hub"])
-
-
-def _partners(same: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of lists sorted by size and, within a size, by how little precedes the key: each one's predecessor and the size's first.
-
-    The first of a size has the fewest rare shingles of its own; it links with more of its near copies
-    than they do with one another. The predecessor of a first is the first of the size before.
-    """
-    at = np.arange(len(n))
-    lead = ~same
-    lead[1:] |= n[1:] != n[:-1]
-    first = np.maximum.accumulate(np.where(lead, at, 0))
-    before = np.where(lead & same, first[at - 1], np.where(same, at - 1, at))
-    return before, first
+        some = slice(a, a + 500_000)
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(part[some]), pa.array(cid[some]), pa.array(at[some])], names=["key", "part", "cid", "at"])
 
 
 def _sets(shared):
-    """(cid, items) of classes that pass the filter of those that are to be verified."""
+    """(cid, items) of the texts (tid, text) that pass the filter; no others are cut into shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, seen = shared.value, set()
         for batch in batches:
-            for held in _classes(batch, 1_000_000):
-                out = {cid: s for s, cid in held if cid is not None and cid not in seen}
-                seen.update(out)
-                if not out:
-                    continue
-                hit = passes_filter(field, np.array(list(out), np.int64).view(np.uint64))
-                cids = [c for c, h in zip(out, hit, strict=True) if h]
-                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([out[c].tobytes() for c in cids], pa.binary())], names=["cid", "items"])
+            tids = np.asarray(batch.column("tid"))
+            keep = passes_filter(field, tids.view(np.uint64))
+            for k in np.flatnonzero(keep).tolist():
+                if int(tids[k]) in seen:
+                    keep[k] = False
+                seen.add(int(tids[k]))
+            for held in _classes(batch.filter(pa.array(keep)), 1_000_000):
+                out = {cid: s for s, cid in held if cid is not None}
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([s.tobytes() for s in out.values()], pa.binary())], names=["cid", "items"])
 
     return run
 
@@ -236,6 +233,13 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each cid, as _once() has it, and the point of merged groups."""
+    for batch in _once(batches):
+        small = [m.astype(np.uint8 if m.max() < 256 else np.int32).tobytes() for m in merged(points_of(batch.column("point").to_pylist()))] if batch.num_rows else []
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(small, pa.binary())], names=["cid", "n", "point", "small"])
+
+
 class CountTree:
     """R-tree over points of group counts, packed by halving along the coordinate of the widest spread.
 
@@ -244,6 +248,8 @@ class CountTree:
 
     def __init__(self, points: np.ndarray):
         self.points, self.sums = points, points.sum(1)
+        #: Points of each leaf; leaves that follow each other lie side by side in the tree.
+        self.leaves: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.least: list[int] = []
         self.most: list[int] = []
@@ -253,6 +259,7 @@ class CountTree:
     def _build(self, at: np.ndarray) -> int:
         if len(at) <= LEAF:
             below: tuple[int, int] | np.ndarray = at
+            self.leaves.append(at)
         else:
             every = np.column_stack([self.points[at], self.sums[at]])
             wide = int((every.max(0) - every.min(0)).argmax())
@@ -298,6 +305,75 @@ def tree_pairs(a: CountTree, b: CountTree) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _leaf_pairs(tree: CountTree) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points that share a leaf of the tree, or lie in leaves that follow each other."""
+    left, right = [], []
+    for k, leaf in enumerate(tree.leaves):
+        x, y = np.triu_indices(len(leaf), 1)
+        left.append(leaf[x])
+        right.append(leaf[y])
+        if k:
+            before = tree.leaves[k - 1]
+            left.append(np.repeat(before, len(leaf)))
+            right.append(np.tile(leaf, len(before)))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _pairs_of_short(lo: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All pairs of lists that would be trees of one leaf: where they begin, and how long they are."""
+    left, right = [], []
+    for m in np.unique(size[size <= LEAF]).tolist():
+        i, j = np.triu_indices(m, 1)
+        at = lo[size == m][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    return left, right
+
+
+def _hub_pairs(n: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each place of a list with its size's hub, and of these with the hub of the size before.
+
+    The hub of a size has the fewest rare shingles of its own before the key, so it links with more of
+    its near copies than they do with one another.
+    """
+    order = np.lexsort((-rest, n))
+    lead = np.append(True, n[order[1:]] != n[order[:-1]])
+    first = np.maximum.accumulate(np.where(lead, np.arange(len(n)), 0))
+    other = np.where(lead, first[np.maximum(np.arange(len(n)) - 1, 0)], first)
+    keep = other != np.arange(len(n))
+    return order[other[keep]], order[keep]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b), a < b: of each list, pairs that may link and connect what lies together in the list's R-tree.
+
+    Besides neighbours in the tree, classes are paired with the hub of their size. Of the pairs that
+    the bound leaves, those of the most overlap stay that connect what all of them connect.
+    """
+    for t, runs in runs_of(batches, ["key", "part"]):
+        if not runs:
+            continue
+        cid, p = t.column("cid").to_numpy(), points_of(t.column("small").to_pylist(), MERGED)
+        n, rest = p.sum(1, dtype=np.int64), _rest(t.column("at").to_numpy())
+        lo, size = np.array(runs)[:, 0], np.diff(np.array(runs), axis=1)[:, 0]
+        left, right = _pairs_of_short(lo, size)
+        for a, m in zip(lo[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+            i, j = _leaf_pairs(CountTree(p[a : a + m].astype(np.int32)))
+            hubs, others = _hub_pairs(n[a : a + m], rest[a : a + m])
+            left += [a + i, a + hubs]
+            right += [a + j, a + others]
+        i, j = np.concatenate(left), np.concatenate(right)
+        fit = (n[i] * OF >= n[j] * SIMILAR) & (n[j] * OF >= n[i] * SIMILAR) & (np.minimum(rest[i], rest[j]) >= _needed(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        most = most_overlap(p, i, j)
+        keep = most >= _needed(n[i], n[j])
+        i, j, most = i[keep], j[keep], most[keep]
+        if len(i):
+            order = np.argsort(most / (n[i] + n[j]), kind="stable")  # of pairs that connect the same, the last one stays
+            i, j = np.array(spanning(i[order], j[order], UnionFind(len(n)))).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): pairs of a key's classes in different components that the bounds leave, a < b.
 
@@ -310,27 +386,22 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cid, comp, units, other, block = (t.column(k).to_numpy() for k in ("cid", "component", "unit_i", "unit_j", "in_block"))
         p = points_of(t.column("point").to_pylist())
         n, rest = p.sum(1, dtype=np.int64), _rest(t.column("at").to_numpy())
-        left, right = [], []
         lo, size = np.array(runs)[:, 0], np.diff(np.array(runs), axis=1)[:, 0]
         one = units[lo] == other[lo]
-        for m in np.unique(size[one & (size <= LEAF)]).tolist():
-            i, j = np.triu_indices(m, 1)
-            at = lo[one & (size == m)][:, None]
-            left.append((at + i).ravel())
-            right.append((at + j).ravel())
+        left, right = _pairs_of_short(lo[one], size[one])
         for a, m, single in zip(lo.tolist(), size.tolist(), one.tolist(), strict=True):
             if single and m <= LEAF:
                 continue
-            at, merged = np.arange(a, a + m), p[a : a + m].reshape(m, MERGED, -1).sum(2, dtype=np.int32)
+            at, small = np.arange(a, a + m), merged(p[a : a + m])
             if single:
-                tree = CountTree(merged)
+                tree = CountTree(small)
                 i, j = tree_pairs(tree, tree)
                 i, j = at[i], at[j]
             else:
                 x, y = block[at] == units[a], block[at] == other[a]
                 if not (x.any() and y.any()):
                     continue
-                i, j = tree_pairs(CountTree(merged[x]), CountTree(merged[y]))
+                i, j = tree_pairs(CountTree(small[x]), CountTree(small[y]))
                 i, j = at[x][i], at[y][j]
             left.append(i)
             right.append(j)
@@ -374,38 +445,47 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = string_column(docs.select("doc_id", "text"), "text")
+    docs = docs.withColumn("tid", F.xxhash64("text"))
     texts = docs.select("text")
-    first = scratch.save(docs.mapInArrow(_first_pass, "doc_id long, n_shingles long, cid long, point binary, chunk int, counts binary"), "first")
+    first = scratch.save(docs.mapInArrow(_first_pass, "doc_id long, tid long, n_shingles long, cid long, point binary, chunk int, counts binary"), "first")
     parts = (1 << SKETCH_BITS) // CHUNK
-    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in first.where("chunk is not null").select("chunk", "counts").repartition(parts, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary").collect():
-        sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int32)
+        sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    # What every slot has says nothing of its shingles; the rest tells frequent ones apart in any number of them.
+    sketch = np.minimum(sketch - sketch.min(), 2**31 - 1).astype(np.int32)
     rows = first.where("chunk is null").select("doc_id", "n_shingles", "cid")
+    # A text of each class, by hash: what it takes to find the class's set again.
+    of_texts = first.where("cid is not null").groupBy("cid").agg(F.min("tid").alias("tid"))
     n_keys = (rows.agg(F.sum("n_shingles")).first()[0] or 0) // 4
     tasks = max(spark.sparkContext.defaultParallelism, n_keys // TASK_KEYS)
 
-    keys = texts.mapInArrow(_keys(spark.sparkContext.broadcast(sketch)), "key long, cid long, at long").repartition(tasks, "key")
-    met = scratch.save(keys.mapInArrow(_meetings, "key long, cid long, at long, before long, hub long"), "met")
+    keys = texts.mapInArrow(_keys(spark.sparkContext.broadcast(sketch)), "key long, part int, cid long, at long").repartition(tasks, "key", "part")
+    met = scratch.save(keys.mapInArrow(_meetings, "key long, part int, cid long, at long"), "met")
     points = first.where("point is not null").select("cid", F.col("n_shingles").alias("n"), "point").repartition(tasks, "cid")
-    points = scratch.save(points.mapInArrow(_once, "cid long, n long, point binary"), "points")
+    points = scratch.save(points.mapInArrow(_points, "cid long, n long, point binary, small binary"), "points")
 
     def gathered(ids: DataFrame, name: str) -> DataFrame:
-        """Whole sets of the classes to be verified, read from the texts again."""
-        sets = texts.mapInArrow(_sets(build_filter(ids)), "cid long, items binary").repartition(tasks, "cid")
+        """Whole sets of the classes to be verified, from one text of each, which is read again."""
+        wanted = scratch.save(ids.join(of_texts, "cid").select("tid"), f"{name}-texts")
+        sets = docs.select("tid", "text").mapInArrow(_sets(build_filter(wanted)), "cid long, items binary").repartition(tasks, "cid")
         return scratch.save(sets.mapInArrow(_once, "cid long, items binary"), name)
 
     def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         both = pairs.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
         return scratch.save(both.mapInArrow(_verify, "a long, b long"), name)
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    def ends(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), name)
 
-    chain = met.select("cid", F.explode(F.array("before", "hub")).alias("other")).where("other is not null")
-    chain = chain.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-    near = chain.join(points.toDF("a", "n_a", "point_a"), "a").join(points.toDF("b", "n_b", "point_b"), "b").mapInArrow(_bound, "a long, b long")
+    # The first search takes, of the keys that a class shares, those of the least hashes: near copies mostly take the same.
+    some = met.withColumn("_nth", F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("key")))).where(F.col("_nth") <= FIRST_KEYS).drop("_nth")
+    lists = some.join(points.select("cid", "small"), "cid").repartition(tasks, "key", "part").sortWithinPartitions("key", "part")
+    near = lists.select("key", "part", "cid", "at", "small").mapInArrow(_nearest, "a long, b long").distinct()
+    whole = points.select("cid", "n", "point")
+    near = near.join(whole.toDF("a", "n_a", "point_a"), "a").join(whole.toDF("b", "n_b", "point_b"), "b").mapInArrow(_bound, "a long, b long")
     near = scratch.save(near, "near")
-    sets = gathered(ends(near), "sets")
+    sets = gathered(ends(near, "ends"), "sets")
     links = verified(near, sets, "links-1")
     comp = components(links, scratch, "cc-1")
     placed = met.select("key", "cid", "at").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -413,7 +493,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = placed.join(mixed, "key", "left_semi").join(points.select("cid", "point"), "cid")
     pairs = split_blocks(lists, ["key"], "cid", BLOCK, scratch, counts=mixed).mapInArrow(_search, "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
-    missing = scratch.save(ends(pairs).join(sets.select("cid"), "cid", "left_anti"), "missing")
+    missing = scratch.save(ends(pairs, "more-ends").join(sets.select("cid"), "cid", "left_anti"), "missing")
     if not missing.isEmpty():
         sets = sets.unionByName(gathered(missing, "more-sets").join(missing, "cid", "left_semi"))
     more = verified(pairs, sets, "links-2")
@@ -423,7 +503,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = scratch.save(least, "least")
     of_component = least.groupBy("component").agg(F.min("least").alias("component_id"))
     answers = scratch.save(least.join(of_component, "component").select("cid", "component_id"), "answers")
-    for name in ("met", "points", "near", "sets", "missing", "more-sets", "pairs", "mixed"):
+    for name in ("ends", "more-ends", "met", "points", "near", "sets", "missing", "more-sets", "pairs", "mixed"):
         scratch.drop(name)
     linked = rows.join(answers, "cid").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
