@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections import deque
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,74 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import Scratch, string_column, table, worker_path, worker_state
-from pairloom.llm.words import blocks
-
-#: White space for some version of Unicode or other, beyond str.isspace().
-_DOUBTFUL = "\u180e\u200b\ufeff"
-#: Characters of text that are split into pieces at once.
-BLOCK_CHARS = 2_000_000
-#: A cache of pieces is emptied beyond so many entries.
-PIECES = 900_000
+
+#: White space for some version of Unicode or other; libraries differ about it.
+_DOUBTFUL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 #: Bytes of text that one task encodes.
 TASK_BYTES = 16 << 20
 OVER = 512
 
 
-def _entangled(piece: str) -> bool:
-    bare = piece.removeprefix("\n")
-    return not bare or bare[0].isspace() or bare[-1].isspace() or bare[0] in _DOUBTFUL or bare[-1] in _DOUBTFUL
-
-
-class Pieces(dict):
-    """Values of pieces of text; those asked for in vain are noted.
-
-    The pattern of byte-level BPE cuts a text before every single space, and around every single line
-    feed, that stands between other characters than white space. So a piece that begins with a line
-    feed stands for the feed and a word without a space, any other one for a word after a space.
-    """
-
-    def __init__(self, blank):
-        super().__init__()
-        self.blank, self.wanted = blank, set()
-
-    def __missing__(self, piece: str):
-        self.wanted.add(piece)
-        return self.blank
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces of a line feed and the text."""
-        pieces = ("\n" + text).replace("\n", " \n").split(" ")
-        del pieces[0]
-        return pieces
-
-    def learn(self, texts: list[list[str]], encode, value, entangled) -> None:
-        """Fill in what the pieces of texts lack. All of it is encoded as one text, between line feeds.
-
-        encode: a text to the array of its ids; value: ids of a piece to what is kept of it.
-        """
-        if len(self) > PIECES:
-            self.clear()
-        for pieces in texts:
-            deque(map(self.__getitem__, pieces), maxlen=0)
-        clean = []
-        for p in self.wanted:
-            if _entangled(p):
-                self[p] = entangled
-            else:
-                clean.append(p)
-        self.wanted.clear()
-        if not clean:
-            return
-        feed = encode("\n")
-        ids = encode("\n" + "\n".join(p[1:] if p[0] == "\n" else " " + p for p in clean) + "\n")
-        at = np.flatnonzero(ids == feed[0])
-        if len(feed) != 1 or len(at) != len(clean) + 1:
-            raise ValueError("this tokenizer does not keep single line feeds apart")
-        for p, i, j in zip(clean, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            self[p] = value(ids[i if p[0] == "\n" else i + 1 : j])
-
-
 def _ranks(spec: dict):
     """The encoding of a byte-level BPE file by ranks; None if its merges don't follow its ids."""
     import public_tokenizers
@@ -102,17 +42,13 @@ def _ranks(spec: dict):
 class TokenCounter:
     """Exact token counts of a .json (tokenizers) or .model (sentencepiece) file.
 
-    Byte-level BPE without a normaliser is counted by pieces, each distinct one encoded once. Pieces
-    are encoded by ranks that the file's own vocabulary and merges give, which is the same encoding
-    and several times as fast; texts that don't fall into pieces, and other tokenizers, are encoded
-    whole by the library.
+    Byte-level BPE without a normaliser is counted by ranks that the file's own vocabulary and merges
+    give, which is the same encoding and several times as fast; texts with white space that libraries
+    differ about, and other tokenizers, are left to the library.
     """
 
-    #: A piece that cannot be encoded apart from its neighbours makes a text's sum negative.
-    ENTANGLED = -(1 << 50)
-
     def __init__(self, path: str):
-        self.model, self.by_piece, self.known = None, False, Pieces(0)
+        self.model, self.ranks = None, None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -128,33 +64,20 @@ class TokenCounter:
         cut = spec.get("pre_tokenizer") or {}
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(map(str.isspace, t["content"])) for t in spec.get("added_tokens", []))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.by_piece = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True) and not spec.get("normalizer") and plain
-        self.ranks = _ranks(spec) if self.by_piece else None
-        self.by_piece = self.ranks is not None
+        if cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True) and not spec.get("normalizer") and plain:
+            self.ranks = _ranks(spec)
 
-    def _whole(self, texts: list[str]) -> list[int]:
+    def _count(self, text: str) -> int:
         if self.model:
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _ids(self, text: str) -> np.ndarray:
+            return len(self.model.encode(text, num_threads=1))
+        if self.ranks is None or _DOUBTFUL.search(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if any(x in text for x in self.special):
-            return np.array(self.ranks.encode(text, allowed_special="all"), np.int64)
-        return np.array(self.ranks.encode_ordinary(text), np.int64)
+            return len(self.ranks.encode(text, allowed_special="all"))
+        return len(self.ranks.encode_ordinary(text))
 
     def count(self, texts: list[str]) -> list[int]:
-        out: list[int] = []
-        for held in blocks(((t,) for t in texts), lambda r: len(r[0]), BLOCK_CHARS):
-            held = [t for (t,) in held]
-            if not self.by_piece:
-                out += self._whole(held)
-                continue
-            cut = [Pieces.cut(t) if t else [] for t in held]
-            self.known.learn(cut, self._ids, len, self.ENTANGLED)
-            for text, pieces in zip(held, cut, strict=True):
-                n = sum(map(self.known.__getitem__, pieces)) - 1
-                out.append(0 if not text else n if n >= 0 else self._whole([text])[0])
-        return out
+        return [self._count(t) for t in texts]
 
 
 class TokenIds:
@@ -171,20 +94,10 @@ class TokenIds:
         #: The free id after the ranks pads rows.
         self.pad_id = self.n_vocab
         self.dtype = np.dtype("<u2" if self.n_vocab < 1 << 16 else "<u4")
-        self.known = Pieces(b"")
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text), self.dtype)
 
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """Piece by piece where the pattern allows it, else the whole text."""
-        for held in blocks(((t,) for t in texts), lambda r: len(r[0]), BLOCK_CHARS):
-            cut = [Pieces.cut(t) if t else [] for (t,) in held]
-            self.known.learn(cut, self.ids, np.ndarray.tobytes, None)
-            for (text,), pieces in zip(held, cut, strict=True):
-                got = list(map(self.known.__getitem__, pieces))
-                yield b"" if not text else self.ids(text).tobytes() if None in got else b"".join(got)[self.dtype.itemsize :]
-
 
 def loaded(kind: type, name: str):
     """A tokenizer that the worker keeps, with its cache, for its next tasks."""
