@@ -106,31 +106,36 @@ def context_terms(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str
 _TERMS = "array<struct<term:string,kind:int,entity:long>>"
 
 
-def _find(with_text: bool):
-    """Data, terms beside it, entities; and the text where it has data, or always."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, terms, entities, texts = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                base = base_spans(text)
-                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                entities.append(sorted({_entity(text, k, s, e) for s, k, e in base}))
-                terms.append([{"term": t, "kind": k, "entity": e} for t, k, e in context_terms(text, base)] if base else [])
-                texts.append(text if base or with_text else None)
-            span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-            term = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64())]))
-            arrays = [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, span), pa.array(terms, term), pa.array(entities, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "base", "terms", "entities"])
-
-    return run
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Data, terms beside it, entities; and the text where it has data."""
+    for batch in batches:
+        spans, terms, entities, texts = [], [], [], []
+        for text in batch.column("text").to_pylist():
+            base = base_spans(text)
+            spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
+            entities.append(sorted({_entity(text, k, s, e) for s, k, e in base}))
+            terms.append([{"term": t, "kind": k, "entity": e} for t, k, e in context_terms(text, base)] if base else [])
+            texts.append(text if base else None)
+        span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+        term = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64())]))
+        arrays = [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, span), pa.array(terms, term), pa.array(entities, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "base", "terms", "entities"])
+
+
+def _words_of_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, term, kind): the distinct words outside of data of each text, with each kind of data that it has."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            base = [(s["start"], s["kind"], s["end"]) for s in r["base"]]
+            met = [(w, k) for w in sorted({w for _, _, w in words_outside(r["text"], base)}) for k in sorted({k for _, k, _ in base})]
+            yield pa.RecordBatch.from_arrays([pa.array([r["row"]] * len(met), pa.int64()), pa.array([w for w, _ in met], pa.string()), pa.array([k for _, k in met], pa.int32())], names=["row", "term", "kind"])
 
 
-def _frequencies(wanted: list[str]):
-    """In how many of a task's texts each of the wanted terms occurs."""
+def _frequencies(shared):
+    """In how many of a task's texts each of the shared terms occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = dict.fromkeys(wanted, 0)
+        names: dict[str, int] = dict.fromkeys(shared.value, 0)
         for batch in batches:
             for held in blocks(((t,) for t in batch.column("text").to_pylist()), lambda r: len(r[0]), 1_000_000):
                 for (text,) in held:
@@ -183,7 +188,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, chance: float = CHANCE)
     some = [r["term"] for r in terms.limit(SHARED_TERMS + 1).collect()]
     texts = docs.select("text")
     if len(some) <= SHARED_TERMS:
-        counted = texts.mapInArrow(_frequencies(some), "term string, n long")
+        counted = texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(some)), "term string, n long")
     else:
         counted = texts.mapInArrow(_all_frequencies, "term string, n long").join(terms, "term", "left_semi")
     f = counted.groupBy("term").agg(F.sum("n").alias("f")) if some else spark.createDataFrame([], "term string, f long")
@@ -200,30 +205,29 @@ def _digest(spans: list[dict]) -> str:
     return ",".join(f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in sorted(spans, key=lambda s: (s["start"], s["kind"], s["end"])))
 
 
-def _written(shared, with_text: bool):
-    """The contract's columns, and the sanitised text; shared has the share disclosed by term for each kind."""
+def _written(shared):
+    """The contract's columns, and the sanitised text. shared has (share disclosed, kind) of terms for each kind, and rows bring those of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_kinds = shared.value
         for batch in batches:
-            rows = batch.to_pylist()
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", *(["sanitised"] if with_text else []))}
-            for r in rows:
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", "sanitised")}
+            for r in batch.to_pylist():
                 base, more = r["base"], []
                 if base:
-                    own = {t["term"]: t["disclosed"] for t in r["risky"] or []}
+                    own = {t["term"]: (t["disclosed"], t["kind"]) for t in r["risky"] or []}
                     tables = [own, *(of_kinds[k] for k in {s["kind"] for s in base} if k in of_kinds)]
                     for a, b, word in words_outside(r["text"], [(s["start"], s["kind"], s["end"]) for s in base]):
-                        if any(word in t for t in tables):
-                            more.append({"kind": 4, "start": a, "end": b, "disclosed": max(t[word] for t in tables if word in t)})
+                        if said := [t[word] for t in tables if word in t]:
+                            disclosed, of = max(said)
+                            more.append({"kind": 4, "start": a, "end": b, "disclosed": disclosed, "of": of})
                 out["doc_id"].append(r["doc_id"])
                 for k, name in enumerate(KINDS[:4]):
                     out[f"n_{name}"].append(sum(s["kind"] == k for s in base))
                 out["n_term"].append(len(more))
                 out["base_sha256"].append(hashlib.sha256(_digest(base).encode()).hexdigest())
                 out["spans"].append(_digest(base + more))
-                if with_text:
-                    out["sanitised"].append(sanitise(r["text"], base + more))
+                out["sanitised"].append(sanitise(r["text"], base + more) if base else None)
             kinds = {"doc_id": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "sanitised": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
@@ -231,39 +235,53 @@ def _written(shared, with_text: bool):
 
 
 def sanitise(text: str, spans: list[dict]) -> str:
-    """Data becomes its kind in brackets; a disclosing term becomes [TERM], or nothing where its share is REMOVE or more."""
+    """Data becomes its kind in brackets; a disclosing term the kind of data that it belongs to, or nothing where its share is REMOVE or more."""
     out, done = [], 0
     for s in sorted(spans, key=lambda s: (s["start"], s["kind"], s["end"])):
         if s["end"] <= done:
             continue
         out.append(text[done : max(done, s["start"])])
-        out.append("" if s["kind"] == 4 and s["disclosed"] >= REMOVE else f"[{KINDS[s['kind']].upper()}]")
+        if s["kind"] < 4:
+            out.append(f"[{KINDS[s['kind']].upper()}]")
+        elif s["disclosed"] < REMOVE:
+            out.append(f"[WORD OF {KINDS[s['of']].upper()}]")
         done = s["end"]
     return "".join(out) + text[done:]
 
 
-def find_personal_data(docs: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE, with_text: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE) -> DataFrame:
     """Per row of docs (doc_id, text): personal data, and terms that disclose an address or number or its kind.
 
     A term that discloses an entity or kind is marked wherever it occurs in the texts that hold the
-    entity or data of the kind beside it. Positions count code points, ends are exclusive. with_text
-    adds the sanitised text. A null or empty text has no spans; repeated rows each get their answer and
-    each count in the statistics; other columns are ignored; an empty table gives no rows.
+    entity or data of the kind beside it. Positions count code points, ends are exclusive. sanitised is
+    the text without what was found: data becomes its kind, a term the kind it belongs to or, from
+    REMOVE on, nothing; it is null for a text without data, which stays as it is and so is not moved. A
+    null or empty text has no spans; repeated rows each get their answer and each count in the
+    statistics; other columns are ignored; an empty table gives no rows.
+
+    Up to SHARED_TERMS terms that disclose a kind are handed to every task; more are joined to the
+    distinct words of the texts that have data.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
     docs = string_column(docs.select("doc_id", "text"), "text")
-    found = scratch.save(docs.mapInArrow(_find(with_text), f"doc_id long, text string, base array<struct<start:int,kind:int,end:int>>, terms {_TERMS}, entities array<long>").withColumn("row", F.monotonically_increasing_id()), "found")
+    found = scratch.save(docs.mapInArrow(_find, f"doc_id long, text string, base array<struct<start:int,kind:int,end:int>>, terms {_TERMS}, entities array<long>").withColumn("row", F.monotonically_increasing_id()), "found")
     risky = scratch.save(disclosing_terms(docs, found, chance).where(F.col("disclosed") >= generalise), "risky")
-    of_kinds: dict[int, dict[str, float]] = {}
-    for r in risky.where("entity is null").collect():
-        of_kinds.setdefault(r["kind"], {})[r["term"]] = r["disclosed"]
-    held = found.select("row", F.explode("entities").alias("entity")).join(risky.where("entity is not null").select("entity", "term", "disclosed"), "entity")
-    own = held.groupBy("row", "term").agg(F.max("disclosed").alias("disclosed")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", "disclosed"))).alias("risky"))
+    alike = risky.where("entity is null").select("term", "kind", "disclosed")
+    held = found.select("row", F.explode("entities").alias("entity")).join(risky.where("entity is not null").select("entity", "term", "kind", "disclosed"), "entity").drop("entity")
+    of_kinds: dict[int, dict[str, tuple[float, int]]] = {}
+    if alike.count() <= SHARED_TERMS:
+        for r in alike.collect():
+            of_kinds.setdefault(r["kind"], {})[r["term"]] = r["disclosed"], r["kind"]
+    else:
+        words = found.where(F.size("base") > 0).select("row", "text", "base").mapInArrow(_words_of_kinds, "row long, term string, kind int")
+        held = held.unionByName(words.join(alike, ["term", "kind"]))
+    own = held.groupBy("row", "term").agg(F.max(F.struct("disclosed", "kind")).alias("d"))
+    own = own.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", "d.disclosed", "d.kind"))).alias("risky"))
     rows = found.select("row", "doc_id", "text", "base")
     rows = rows.where(F.size("base") > 0).join(own, "row", "left").unionByName(rows.where(F.size("base") == 0), allowMissingColumns=True).drop("row")
-    out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string" + (", sanitised string" if with_text else "")
-    return rows.mapInArrow(_written(spark.sparkContext.broadcast(of_kinds), with_text), out)
+    out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string, sanitised string"
+    return rows.mapInArrow(_written(spark.sparkContext.broadcast(of_kinds)), out)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
