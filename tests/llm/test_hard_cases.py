@@ -1,5 +1,6 @@
 """Repeated rows, missing ids, long inputs and plain versions of the training-data operators."""
 
+import hashlib
 import math
 import random
 import re
@@ -9,8 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pairloom.llm import contamination, html, mixing, packing, secrets, tokens
-from pairloom.llm.common import checkpoint_root, worker_path
+from pairloom.llm import contamination, html, jaccard, mixing, packing, pii, pivots, secrets, tokens
+from pairloom.llm.common import build_filter, checkpoint_root, passes_filter, worker_path
 
 RNG = random.Random(7)
 WORDS = [f"v{k}" for k in range(300)]
@@ -174,8 +175,6 @@ def test_secrets_against_a_plain_version(spark):
 
     texts = [RNG.choice([" ", "\n", ", "]).join(piece() for _ in range(RNG.randrange(9))) for _ in range(150)] + ["", " ".join("password=abcdefgh1" for _ in range(1500))]
     got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame([*enumerate(texts), (-1, None)], DOCS)).collect()}
-    import hashlib
-
     said = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
     for k, text in enumerate(texts):
         base, every = _secret_spans(text)
@@ -275,3 +274,146 @@ def test_a_cluster_needs_a_shared_folder():
         checkpoint_root(Session())
     Session.conf["spark.checkpoint.dir"] = "file:///shared"
     assert checkpoint_root(Session()) == "file:///shared"
+
+
+# The patterns of the contract, as they stand there.
+_DATA = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 12 <= sum(map(str.isdigit, m)) <= 19 and _luhn(m)),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 9 <= sum(map(str.isdigit, m)) <= 15),
+)
+
+
+def _luhn(s):
+    digits = [int(c) for c in s if c.isdigit()][::-1]
+    return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+
+
+def _data_spans(text):
+    return sorted((m.start(), k, m.end()) for k, (_, p, keep) in enumerate(_DATA) for m in p.finditer(text) if keep(m[0]))
+
+
+def test_data_against_the_patterns(spark):
+    pieces = ["10.0.0.1", "256.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0123", "+49.30.1234567", "+1", "a.b@c.de", "x@y", "@", "q@@r.s", "12", " ", "-", ".", "é", "😀", "word"]
+    texts = ["".join(RNG.choice(pieces) + RNG.choice(["", " ", "", "."]) for _ in range(RNG.randrange(14))) for _ in range(1500)]
+    texts += ["".join(RNG.choice("0123456789 .-+()@a") for _ in range(RNG.randrange(60))) for _ in range(1500)]
+    for t in texts:
+        assert pii.base_spans(t) == _data_spans(t), t
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame([*enumerate(texts), (-1, None)], DOCS)).collect()}
+    for k, t in enumerate(texts):
+        spans = _data_spans(t)
+        said = ",".join(f"{_DATA[kind][0]}:{a}:{b}" for a, kind, b in spans)
+        assert got[k]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [got[k][f"n_{name}"] for name, *_ in _DATA] == [sum(kind == n for _, kind, _ in spans) for n in range(4)]
+        assert (got[k]["sanitised"] is None) == (not spans)
+    assert got[-1]["spans"] == "" and got[-1]["sanitised"] is None
+
+
+def test_very_many_addresses_in_one_text(spark):
+    text = " ".join(f"write to user{k}@mail.example now" for k in range(40_000))
+    start = time.perf_counter()
+    row = pii.find_personal_data(spark.createDataFrame([(1, text), (2, None), (2, None), (3, "x" * 100_000)], DOCS)).where("doc_id = 1").collect()[0]
+    assert row["n_email"] == 40_000 and "@" not in row["sanitised"] and time.perf_counter() - start < 60
+
+
+def _disclosing_rows():
+    with_data = [(k, f"customer hotline zyxw +1 (212) 555-01{k:02d} please") for k in range(60)]
+    return with_data + [(100 + k, f"customer please {'hotline' if k < 28 else 'nothing'} here") for k in range(140)]
+
+
+def test_terms_are_generalised_or_removed_by_their_share(spark, monkeypatch):
+    docs = spark.createDataFrame(_disclosing_rows(), DOCS)
+    got = {r["doc_id"]: r["sanitised"] for r in pii.find_personal_data(docs).collect()}
+    # Each zyxw stands beside a number and goes; hotline does so in 60 of 88 documents and names the kind only.
+    assert got[3] == "customer [WORD OF PHONE]  [PHONE] please" and got[100] is None
+    monkeypatch.setattr(pii, "SHARED_TERMS", 0)
+    assert {r["doc_id"]: r["sanitised"] for r in pii.find_personal_data(docs).collect()} == got
+
+
+def test_terms_against_plain_counts(spark):
+    """PMI and the bound of chance, counted document by document."""
+    rows = _disclosing_rows()
+    n, words = len(rows), [set(re.findall(r"[a-z]{2,}", t)) for _, t in rows]
+    has = [bool(_data_spans(t)) for _, t in rows]
+    risky = {r["term"]: r["disclosed"] for r in pii.disclosing_terms(*_found(spark, rows)).where("entity is null").collect()}
+    c = sum(has)
+    for term in {w for held in words for w in held}:
+        f, j = sum(term in held for held in words), sum(term in held and h for held, h in zip(words, has, strict=True))
+        share = math.log2(j * n / (f * c)) / math.log2(n / c) if j else 0
+        assert risky.get(term, 0) == pytest.approx(share) or (term not in risky and (share <= 0 or j * math.log(j * n / (f * c)) - j + f * c / n < 12))
+
+
+def _found(spark, rows):
+    docs = spark.createDataFrame(rows, DOCS)
+    kinds = f"doc_id long, text string, base array<struct<start:int,kind:int,end:int>>, terms {pii._TERMS}, entities array<long>"
+    return docs, docs.mapInArrow(pii._find, kinds)
+
+
+def _jaccard_labels(texts):
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(a):
+                if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    return label
+
+
+def test_jaccard_keys_that_are_dealt_out_as_several_lists(spark, monkeypatch):
+    base = [_text(40) for _ in range(6)]
+    texts = []
+    for _ in range(160):
+        words = RNG.choice(base).split()
+        for _ in range(RNG.randrange(4)):
+            words[RNG.randrange(len(words))] = RNG.choice(WORDS)
+        texts.append(" ".join(words) + " a passage that all of these texts have at their end")
+    want = _jaccard_labels(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    for keys in (jaccard.LIST_KEYS, 4):
+        monkeypatch.setattr(jaccard, "LIST_KEYS", keys)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()} == dict(enumerate(want))
+    assert len(set(want)) < 150
+
+
+def test_filters_have_no_false_negatives(spark):
+    rng = np.random.default_rng(3)
+    inside, outside = (rng.integers(-(1 << 63), (1 << 63) - 1, 20_000) for _ in range(2))
+    field = build_filter(spark.createDataFrame([(int(x),) for x in inside], "h long").repartition(3)).value
+    assert passes_filter(field, inside.view(np.uint64)).all() and passes_filter(field, outside.view(np.uint64)).mean() < 0.05
+    assert not build_filter(spark.createDataFrame([], "h long")).value.any()
+
+
+def test_embeddings_that_repeat_clash_and_tie(spark):
+    x = np.random.default_rng(5).standard_normal((40, 8)).astype(np.float64)
+    rows = [(k, k % 2, x[k].tolist(), "h", 1, 2) for k in range(40)] + [(5, 1, x[5].tolist(), "h", 1, 2)] * 9 + [(None, 1, x[5].tolist(), "h", 1, 2), (60, None, x[5].tolist(), "h", 1, 2), (61, 1, None, "h", 1, 2), (62, 1, [], "h", 1, 2)]
+    rows += [(70 + k, 0, [float(k + 1), 0.0], "h", 1, 2) for k in range(3)]  # one direction, other lengths and another dimension
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>, h1 string, cid long, n long").repartition(3)
+    got = pivots.near_duplicates(frame).collect()
+    assert len(got) == len(rows) and pivots.near_duplicates(frame.limit(0)).count() == 0
+    by_id = {r["vec_id"]: r for r in got}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = {k: [j for j in range(40) if j % 2 == k % 2 and j != k and unit[j] @ unit[k] >= 0.93] for k in range(40)}
+    copies = lambda js: sum(11 if j == 5 else 1 for j in js)
+    assert all(by_id[k]["n_links"] == copies(near[k]) + (10 if k == 5 else 0) for k in range(40))
+    assert by_id[None]["component_id"] == by_id[5]["component_id"] and not by_id[None]["kept"]
+    assert all((by_id[k]["n_links"], by_id[k]["component_id"]) == (0, k) for k in (60, 61, 62))
+    assert all((by_id[70 + k]["n_links"], by_id[70 + k]["component_id"]) == (2, 70) for k in range(3))
+
+
+def test_shared_pivots_against_counting():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        p = np.array([rng.permutation(30)[:8] for _ in range(60)], np.int16)
+        key = int(p[0, rng.integers(8)])
+        mine = p[(p == key).any(1)]
+        i, j = pivots.shared_pivots(mine, mine, key)
+        want = {
+            (a, b) for a in range(len(mine)) for b in range(len(mine))
+            if len(both := set(mine[a]) & set(mine[b])) >= 2 and min(both) == key and (set(mine[a][:3]) & set(mine[b]) or set(mine[b][:3]) & set(mine[a]))
+        }
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want

@@ -199,7 +199,7 @@ def test_mixing(spark, edge, empty):
 def test_secrets_and_personal_data(edge, empty):
     found = {r["doc_id"]: r for r in secrets.scan_secrets(edge).collect()}
     assert found[9]["n_assign"] == 1 and found[1]["spans"] == "" and secrets.scan_secrets(empty).count() == 0
-    data = {r["doc_id"]: r for r in pii.find_personal_data(edge, with_text=True).collect()}
+    data = {r["doc_id"]: r for r in pii.find_personal_data(edge).collect()}
     assert data[9]["n_email"] == 1 and data[9]["sanitised"].endswith("[EMAIL]") and pii.find_personal_data(empty).count() == 0
     plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for _ in range(3000):
@@ -218,7 +218,7 @@ def test_terms_that_disclose_one_address(spark):
     filler = lambda k: " ".join(RNG.choice(WORDS) for _ in range(k))
     rows = [(k, f"zanzibar {'x' * 500} {filler(3)} bob@mail.example quorvath {filler(30)} Quorvath") for k in range(6)]
     rows += [(100 + k, f"{filler(5)} user{k}@mail.example {filler(5)}") for k in range(200)] + [(400 + k, filler(20)) for k in range(2000)]
-    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k in range(6):
         assert "quorvath" not in got[k]["sanitised"].lower() and "zanzibar" not in got[k]["sanitised"] and "term:0:8" in got[k]["spans"]
     assert sum(got[100 + k]["n_term"] for k in range(200)) == 0 and all(got[400 + k]["spans"] == "" for k in range(2000))
