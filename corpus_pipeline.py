@@ -1,4 +1,10 @@
-"""From raw documents to packed token ids: five stages, each written as Parquet and read by the next."""
+"""From raw documents to packed token ids: five stages, each written as Parquet and read by the next.
+
+All stages but the last return whole rows of their input, with all of its columns, whatever these are
+named. Rows are told apart by a key of their own, never by doc_id: a null or repeated id loses nothing.
+An empty table gives an empty table at each stage. What a stage does with nulls, repeated rows and ties
+is stated there.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +20,11 @@ from pairloom.llm.packing import pack_documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letters go."""
+    """Documents with a language; those without any letters, null and empty texts among them, go.
+
+    Where nothing can be learned, as no row has a lang, no document has a language and all go. Repeated
+    rows get the same answer; ties between languages go to the first by name.
+    """
     found = identify_languages(docs, learn_languages(docs))
     return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
@@ -26,7 +36,11 @@ def _keyed(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame,
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest id; rows of one id, or without any, go by their content."""
+    """Of each group of near copies, the row with the smallest id; rows of one id, or without any, go by their content.
+
+    A row without id stays only if its group has none with one. Of repeated rows one stays; texts
+    without words are in no group, and stay. Columns that a group's rows differ in come from the row kept.
+    """
     keyed, texts = _keyed(spark, docs, "near")
     groups = jaccard_components(texts).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     # Rows with equal content are interchangeable, so that reruns keep the same one whatever its key is.
@@ -37,19 +51,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item."""
+    """Documents that cover no benchmark item. Null texts stay; repeated rows go or stay together; an empty benchmark drops none."""
     keyed, texts = _keyed(spark, docs, "benchmark")
     found = contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
     return keyed.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: none, or up to three times.
+
+    Null sources are one source, the last. Each of repeated rows has a draw of its own; rows without
+    words are taken like others but add nothing to a target. Documents without a label weigh 1.
+    """
     return mixed_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of packed token ids."""
+    """Rows of packed token ids; null and empty texts bring none, repeated rows are packed as often as they occur."""
     return pack_documents(docs)
 
 
