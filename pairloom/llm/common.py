@@ -60,10 +60,6 @@ def string_column(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit("")))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -259,3 +255,22 @@ def worker_state() -> dict:
     import types
 
     return sys.modules.setdefault("_pairloom_worker_state", types.ModuleType("_pairloom_worker_state")).__dict__
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow whose task leaves no memory behind: Spark keeps idle workers, and each would keep its caches and free heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            import ctypes
+
+            for cache in list(worker_state().values()):
+                if isinstance(cache, dict):
+                    cache.clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run

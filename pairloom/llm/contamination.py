@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Scratch, build_filter, passes_filter, string_column, table, worker_state
+from pairloom.llm.common import Scratch, build_filter, passes_filter, string_column, table, tidy, worker_state
 from pairloom.llm.words import PlainWordHashes, blocks, hash_array, window_hashes
 
 #: Words of the shortest tile; seeds are runs of so many words.
@@ -105,6 +105,7 @@ def tile(a: np.ndarray, b: np.ndarray, shortest: int = MIN_TILE, apart: np.ndarr
 
 
 def _items(shortest: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [plain_words(t) for t in batch.column("text").to_pylist()]
@@ -118,6 +119,7 @@ def _items(shortest: int):
 def _runs(shared, shortest: int):
     """Of each document, the runs of words whose seeds may all be seeds of items; nothing else can be in a tile."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
@@ -155,6 +157,7 @@ def _runs(shared, shortest: int):
 
 
 def _seeds_of_runs(shortest: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, seeds = [], []
@@ -169,6 +172,7 @@ def _seeds_of_runs(shortest: int):
 
 
 def _cover(shortest: int, coverage: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "item", "n_tiles", "covered", "n_words")}

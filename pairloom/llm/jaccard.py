@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Scratch, UnionFind, build_filter, components, passes_filter, runs_of, spanning, split_blocks, string_column, table, worker_state
+from pairloom.llm.common import Scratch, UnionFind, build_filter, components, passes_filter, runs_of, spanning, split_blocks, string_column, table, tidy, worker_state
 from pairloom.llm.words import WordHashes, blocks, shingle_sets
 
 SHINGLE = 5
@@ -101,6 +101,7 @@ def _rest(at: np.ndarray) -> np.ndarray:
     return at & 0xFFFFFFFF
 
 
+@tidy
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, with its point where the task meets its class first; then the task's sketch in chunks."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -138,6 +139,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(shared):
     """(key, part, cid, at): the rarest shingles of each class that a task meets, once a task. Part is 0 for keys that are one list."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = shared.value, set()
         for batch in batches:
@@ -162,6 +164,7 @@ def _keys(shared):
     return run
 
 
+@tidy
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, part, cid, at): a partition's keys that two or more classes share, with their classes.
 
@@ -206,6 +209,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(shared):
     """(cid, items) of the texts (tid, text) that pass the filter; no others are cut into shingles."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, seen = shared.value, set()
         for batch in batches:
@@ -344,6 +348,7 @@ def _hub_pairs(n: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[other[keep]], order[keep]
 
 
+@tidy
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b), a < b: of each list, pairs that may link and connect what lies together in the list's R-tree.
 
@@ -374,6 +379,7 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
 
 
+@tidy
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): pairs of a key's classes in different components that the bounds leave, a < b.
 
@@ -416,6 +422,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
 
 
+@tidy
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         k = batch.num_rows
@@ -424,6 +431,7 @@ def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import table, worker_state
+from pairloom.llm.common import table, tidy, worker_state
 from pairloom.llm.words import mix
 
 #: Slots that hashed n-grams of letters fall into, and the n.
@@ -70,7 +70,7 @@ def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(slots), np.concatenate(owners)) if slots else (np.empty(0, np.int32), np.empty(0, np.int32))
 
 
-def _blocks(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[str], limit: int = 400_000) -> Iterator[tuple[int, int]]:
     start, n = 0, 0
     for k, t in enumerate(texts):
         n += len(t)
@@ -79,6 +79,7 @@ def _blocks(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int
             start, n = k + 1, 0
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by language and slot of a task's sample; each text weighs the same."""
     sums: dict[str, np.ndarray] = {}
@@ -185,6 +186,7 @@ def identify_languages(docs: DataFrame, model: Codes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = kept.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.predict(batch.column(at).to_pylist())

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import string_column, table
+from pairloom.llm.common import string_column, table, tidy
 from pairloom.llm.tokens import TokenIds, loaded
 
 SEQ_LEN = 2048
@@ -79,6 +79,7 @@ def _encode(tokenizer: str, seq_len: int, shards: int):
     deals its pieces alike, in whatever order it reads them.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = loaded(TokenIds, tokenizer)
         step, task, met = seq_len * ids.dtype.itemsize, TaskContext.get().partitionId(), Counter()
@@ -102,6 +103,7 @@ def _encode(tokenizer: str, seq_len: int, shards: int):
 def _shards(pack):
     """Pack the shard that a partition is."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held := [b for b in batches if b.num_rows]:
             yield from pack(pa.Table.from_batches(held)).to_batches(max_chunksize=1024)

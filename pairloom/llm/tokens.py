@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Scratch, string_column, table, worker_path, worker_state
+from pairloom.llm.common import Scratch, string_column, table, tidy, worker_path, worker_state
 
 #: White space for some version of Unicode or other; libraries differ about it.
 _DOUBTFUL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
@@ -125,6 +125,7 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _encoder(name: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(TokenCounter, name)
         for batch in _first_of_task(batches):
