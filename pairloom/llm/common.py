@@ -196,8 +196,8 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield held, long(np.array([0, held.num_rows]))
 
 
-#: Bits of a filter for each hash, log2 of the least and most bits (8 KB, 64 MB), and bytes that travel in a row.
-FILTER_SHARE, FILTER_BITS, FILTER_CHUNK = 16, (16, 29), 1 << 16
+#: Bits of a filter for each hash, log2 of the least and most bits (8 MB, 64 MB), and bytes that travel in a row.
+FILTER_SHARE, FILTER_BITS, FILTER_CHUNK = 128, (26, 29), 1 << 13
 
 
 def filter_slots(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
