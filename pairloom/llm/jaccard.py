@@ -15,7 +15,7 @@ Stages, each over all documents:
    its size. It looks under some keys of each class. A second search finds all pairs, under any key, that the bound leaves and that the first
    one's links have not joined.
 4. What either search leaves is verified on whole sets, which are read again from one text of each
-   class; components follow from the links.
+   class; pairs of the second one are bounded by finer counts before. Components follow from the links.
 """
 
 from __future__ import annotations
@@ -431,6 +431,40 @@ def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts of a sorted set by the leading bits of its shingles, in about as many groups as it has shingles; empty where a byte is too small."""
+    bits = max(8, (len(s) - 1).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def fine_overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Sum of the coordinate minima of two fine points; the one of more groups is merged to those of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(1, dtype=np.int64)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
+@tidy
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fine = [fine_point(np.frombuffer(raw, np.uint64)) for raw in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(fine, pa.binary())], names=["cid", "fine"])
+
+
+@tidy
+def _fine_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose fine points leave the overlap that linked sets need, and those with a set that has none."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("fine_a").to_pylist(), batch.column("fine_b").to_pylist(), strict=True):
+            p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            keep.append(not x or not y or fine_overlap(p, q) >= _needed(int(p.sum(dtype=np.int64)), int(q.sum(dtype=np.int64))))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 @tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -501,17 +535,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = placed.join(mixed, "key", "left_semi").join(points.select("cid", "point"), "cid")
     pairs = split_blocks(lists, ["key"], "cid", BLOCK, scratch, counts=mixed).mapInArrow(_search, "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
-    missing = scratch.save(ends(pairs, "more-ends").join(sets.select("cid"), "cid", "left_anti"), "missing")
+    wanted = ends(pairs, "more-ends")
+    missing = scratch.save(wanted.join(sets.select("cid"), "cid", "left_anti"), "missing")
+    sets = sets.join(wanted, "cid", "left_semi")
     if not missing.isEmpty():
         sets = sets.unionByName(gathered(missing, "more-sets").join(missing, "cid", "left_semi"))
-    more = verified(pairs, sets, "links-2")
+    # Few of these pairs link, and sets are large: fine points, an eighth of their size, meet before sets do.
+    fine = scratch.save(sets.mapInArrow(_fine, "cid long, fine binary"), "fine")
+    close = pairs.join(fine.toDF("a", "fine_a"), "a").join(fine.toDF("b", "fine_b"), "b").mapInArrow(_fine_bound, "a long, b long")
+    close = scratch.save(close, "close")
+    more = verified(close, sets.join(ends(close, "close-ends"), "cid", "left_semi"), "links-2")
     comp = components(links.unionByName(more), scratch, "cc-2")
 
     least = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = scratch.save(least, "least")
     of_component = least.groupBy("component").agg(F.min("least").alias("component_id"))
     answers = scratch.save(least.join(of_component, "component").select("cid", "component_id"), "answers")
-    for name in ("ends", "more-ends", "met", "points", "near", "sets", "missing", "more-sets", "pairs", "mixed"):
+    for name in ("ends", "more-ends", "met", "points", "near", "sets", "missing", "more-sets", "pairs", "mixed", "fine", "close", "close-ends"):
         scratch.drop(name)
     linked = rows.join(answers, "cid").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -294,3 +294,18 @@ def test_pipeline_rows_without_ids(spark, tmp_path):
     spark.createDataFrame([(1, texts[0]), (2, texts[7])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.drop_benchmark(spark, kept, str(tmp_path))
     assert sorted(r["text"] for r in clean.collect()) == sorted(t for k, t in enumerate(texts) if k not in (0, 7))
+
+
+def test_fine_points_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 255, 256, 257, 1000, 5000, 40_000):
+        shared = rng.integers(0, 2**64, n, np.uint64)
+        for more in (0, 1, n // 4, n // 3):
+            x, y = np.unique(shared), np.unique(np.concatenate([shared, rng.integers(0, 2**64, more, np.uint64)]))
+            p, q = (np.frombuffer(jaccard.fine_point(s), np.uint8) for s in (x, y))
+            assert p.sum(dtype=np.int64) == len(x) and q.sum(dtype=np.int64) == len(y)
+            assert jaccard.fine_overlap(p, q) == jaccard.fine_overlap(q, p) >= len(np.intersect1d(x, y))
+        other = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        if n >= 1000:
+            assert jaccard.fine_overlap(np.frombuffer(jaccard.fine_point(x), np.uint8), np.frombuffer(jaccard.fine_point(other), np.uint8)) < jaccard._needed(len(x), n)
+    assert jaccard.fine_point(np.arange(256, dtype=np.uint64)) == b""
