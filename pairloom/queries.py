@@ -321,7 +321,7 @@ def apss_ml_vectors(spark, sf):
     """Pairs of a DataFrame with a column of ML vectors."""
     from pyspark.ml.functions import array_to_vector
 
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").repartition("vec_id").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
     found = join.cosine_pairs(rows, LAYERS, 0.3).select("similarity.*").toDF("i", "j", "sim")
     return _rounded(found, "sim")
 
