@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vector import l2_normalize
+from pairloom.operators import blocks
 
 
 def choose_anchors(postings: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -31,15 +32,13 @@ def signatures(postings: DataFrame, anchors: DataFrame, level: float = 0.5) -> D
 
 def bucket_pairs(postings: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, i, j, sim) of vectors with equal keys that share a feature, i > j."""
-    placed = l2_normalize(postings).join(keys, "id")
-    i, j = placed.toDF("i", "feature", "wi", "key"), placed.toDF("j", "feature", "wj", "key")
-    return i.join(j, ["key", "feature"]).where("i > j").groupBy("key", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
+    return blocks.bucketed(postings, keys).drop("place")
 
 
 def bucket_best(postings: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, i, j, sim): each bucket's most similar pair; ties go to the smallest ids."""
-    best = F.min_by(F.struct("i", "j", "sim"), F.struct(-F.round("sim", 9), "i", "j")).alias("b")
-    return bucket_pairs(postings, keys).groupBy("key").agg(best).select("key", "b.i", "b.j", "b.sim")
+    best = F.min_by(F.struct("i", "j", "sim"), F.struct(-F.col("place"), "i", "j")).alias("b")
+    return blocks.bucketed(postings, keys, best=True).groupBy("key").agg(best).select("key", "b.i", "b.j", "b.sim")
 
 
 def best_pair(postings: DataFrame, anchors: DataFrame) -> DataFrame:

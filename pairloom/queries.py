@@ -45,7 +45,7 @@ def _unit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _embedded(spark: SparkSession, sf: str) -> DataFrame:
-    return V.dense_postings(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding")
+    return V.dense_postings(spark.read.parquet(f"{sf}/embeddings.parquet").repartition("vec_id"), "vec_id", "embedding")
 
 
 def _supplied(spark: SparkSession, sf: str) -> DataFrame:
