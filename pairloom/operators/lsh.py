@@ -67,6 +67,4 @@ def row_summaries(postings: DataFrame, threshold: float) -> DataFrame:
 def row_pruned_pairs(postings: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     """(i, j, value) of bucket pairs where tmax of one is below colsum of the other."""
     rows = row_summaries(l2_normalize(postings), threshold)
-    pairs = bucket_pairs(postings, keys)
-    met = pairs.join(rows.toDF("i", "tmax_i", "colsum_i"), "i").join(rows.toDF("j", "tmax_j", "colsum_j"), "j")
-    return met.where("tmax_j < colsum_i and tmax_i < colsum_j").select("i", "j", F.col("sim").alias("value"))
+    return blocks.bucketed(postings, keys, rows=rows).select("i", "j", F.col("sim").alias("value"))
