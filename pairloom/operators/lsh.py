@@ -41,9 +41,14 @@ def bucket_best(postings: DataFrame, keys: DataFrame) -> DataFrame:
     return blocks.bucketed(postings, keys, best=True).groupBy("key").agg(best).select("key", "b.i", "b.j", "b.sim")
 
 
+def closest_pair(postings: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, i, j, sim): the most similar pair of any bucket; no row where no bucket has two vectors."""
+    return blocks.closest(postings, keys).orderBy(F.desc("place"), "i", "j", "key").limit(1).drop("place")
+
+
 def best_pair(postings: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The most similar pair of any bucket; no row where no bucket has two vectors."""
-    return bucket_best(postings, signatures(postings, anchors)).orderBy(F.desc(F.round("sim", 9)), "i", "j").limit(1)
+    """closest_pair of the buckets by these anchors."""
+    return closest_pair(postings, signatures(postings, anchors))
 
 
 def best_of_attempts(postings: DataFrame, k: int, attempts: int = 21) -> DataFrame:
@@ -54,8 +59,8 @@ def best_of_attempts(postings: DataFrame, k: int, attempts: int = 21) -> DataFra
     width = F.greatest(F.length("key") / F.lit(attempts), F.lit(1)).cast("int")
     seeds = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("seed")
     keys = all_keys.select("id", "key", seeds).select("id", F.concat_ws(":", F.col("seed").cast("string"), F.substring("key", F.col("seed") * width + 1, width)).alias("key"))
-    found = bucket_best(postings, keys).select(F.substring_index("key", ":", -1).alias("key"), "i", "j", "sim", F.substring_index("key", ":", 1).cast("int").alias("seed"))
-    return found.orderBy(F.desc(F.round("sim", 9)), "i", "j", "seed").limit(1)
+    found = blocks.closest(postings, keys).select(F.substring_index("key", ":", -1).alias("key"), "i", "j", "sim", F.substring_index("key", ":", 1).cast("int").alias("seed"), "place")
+    return found.orderBy(F.desc("place"), "i", "j", "seed").limit(1).drop("place")
 
 
 def row_summaries(postings: DataFrame, threshold: float) -> DataFrame:
