@@ -437,8 +437,7 @@ def lsh_bucket_best(spark, sf):
 
 @query(f"WITH {ANCHORED} SELECT key, i, j, round(sim, 6) AS sim FROM pairs ORDER BY round(pairs.sim, 9) DESC, i, j LIMIT 1")
 def lsh_best_pair(spark, sf):
-    best = lsh.bucket_best(_embedded(spark, sf), _keys(spark, sf))
-    return _rounded(best.orderBy(F.desc(F.round("sim", 9)), "i", "j").limit(1), "sim")
+    return _rounded(lsh.closest_pair(_embedded(spark, sf), _keys(spark, sf)), "sim")
 
 
 @query(
